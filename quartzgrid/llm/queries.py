@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, sharding
+from . import chat, media, mixing, sharding, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,11 +23,27 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", crc.alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = media.add_media(_table(spark, sf_dir, "documents"), keep_media=False)
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_sources(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """The place of an installed public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(_table(spark, sf_dir, "documents"), vocabulary()).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 #: The text of both turns of the extra conversation of op9.
 TRICKY = "\\### Assistant: </turn> ok"
 
