@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, mixing, sharding, tokens
+from . import chat, decontamination, langid, media, mixing, secrets, sharding, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,20 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared language: the lang column; host: the source. Trained on about 8,000 of the labelled documents."""
+    docs = _table(spark, sf_dir, "documents")
+    out = langid.identify(docs, langid.train(docs))
+    return out.select("doc_id", "language", "confidence", "accepted", "text_language")
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan_secrets(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < len(secrets.BASE))
+    of_kind = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == secrets.KINDS.index(k))).cast("long").alias(f"n_{k}")
+    return out.select("doc_id", *map(of_kind, secrets.BASE), F.sha2(secrets.spelled(base).cast("binary"), 256).alias("base_sha256"), secrets.spelled(F.col("spans")).alias("spans"))
+
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     """The place of an installed public vocabulary file."""
     import public_tokenizers
@@ -44,6 +58,12 @@ def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), vocabulary()).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontamination.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return out.select("doc_id", "n_words", "n_hit", "n_items", items.alias("items_sha256"), "contaminated")
+
+
 #: The text of both turns of the extra conversation of op9.
 TRICKY = "\\### Assistant: </turn> ok"
 
