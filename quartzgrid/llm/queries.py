@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, langid, media, mixing, secrets, sharding, tokens
+from . import chat, decontamination, langid, media, mixing, secrets, sharding, substrings, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,6 +85,11 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(_table(spark, sf_dir, "documents"), keep_text=False)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def queries() -> dict[str, Query]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
