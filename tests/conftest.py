@@ -4,7 +4,7 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+sys.path[:0] = [str(Path(__file__).resolve().parent.parent), str(Path(__file__).resolve().parent)]
 os.environ.setdefault("SPARK_LOCAL_IP", "127.0.0.1")
 
 SF = "/root/testdata/sf0.001"
@@ -41,18 +41,3 @@ def duck():
     for file in Path(SF).glob("*.parquet"):
         con.execute(f"CREATE VIEW {file.stem} AS SELECT * FROM '{file}'")
     return con
-
-
-def same_rows(a, b) -> str:
-    """Empty if two pandas frames hold the same rows in any order, else what differs."""
-    names = sorted(a.columns)
-    if names != sorted(b.columns):
-        return f"columns {names} and {sorted(b.columns)}"
-    if len(a) != len(b):
-        return f"{len(a)} and {len(b)} rows"
-    x, y = (f[names].sort_values(names, ignore_index=True) for f in (a, b))
-    for c in names:
-        for p, q in zip(x[c], y[c], strict=True):
-            if not (p == q or (p != p and q != q) or (p is None and q is None)):
-                return f"{c}: {p!r} and {q!r}"
-    return ""

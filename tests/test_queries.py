@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import same_rows
+from rows import same_rows
 from quartzgrid.plans.oracles import oracle_sql
 from quartzgrid.plans.queries import queries
 
