@@ -453,6 +453,8 @@ def _metadata(data: bytes) -> tuple[dict, np.ndarray, int]:
             packed = int.from_bytes(block[10:18], "big")
             info = {"rate": packed >> 44, "channels": (packed >> 41 & 7) + 1, "bits": (packed >> 36 & 31) + 1, "samples": packed & (1 << 36) - 1, "md5": block[18:34]}
         elif kind == 3:
+            if n % 18 or len(block) < n:
+                raise FlacError("seek points that are not valid")
             seek = np.frombuffer(block, seek.dtype)
             seek = seek[seek["sample"] != (1 << 64) - 1]  # without placeholders
         at += 4 + n
