@@ -172,7 +172,7 @@ def identify(
     """
     ship(df.sparkSession)
     df = df.drop(*[c for c in df.columns if c.lower() in ("language", "confidence", "accepted", "text_language")])
-    s, h, x, d, best = fresh(df, "_scores", "_host", "_suffix", "_declared", "_best")
+    s, h, x, d, best, h1, x1, prior = fresh(df, "_scores", "_host", "_suffix", "_declared", "_best", "_of_host", "_of_suffix", "_prior")
     column = lambda c: F.col(c) if isinstance(c, str) else F.lit(None).cast("string") if c is None else c
     names = [*model.languages, UND]
     scored = df.withColumns({
@@ -194,12 +194,12 @@ def identify(
     suffix_prior = [(F.col(f"x{i}") + smoothing * whole[i]) / (n_suffix + smoothing) for i in range(len(names))]
     host_prior = [F.log((F.col(f"c{i}") + smoothing * suffix_prior[i]) / (n_host + smoothing)) for i in range(len(names))]
     host_prior[-1] = F.log(F.lit(und_prior))
-    priors = by_host.join(by_suffix, F.col(x).eqNullSafe(F.col("_x"))).select(F.col(h).alias("_h1"), F.col(x).alias("_x1"), F.array(*host_prior).alias("_prior"))
+    priors = by_host.join(by_suffix, F.col(x).eqNullSafe(F.col("_x"))).select(F.col(h).alias(h1), F.col(x).alias(x1), F.array(*host_prior).alias(prior))
 
     other = (1 - trust) / max(1, len(names) - 1)
     told = F.array(*[F.when(F.col(d).isNull(), 0.0).otherwise(F.when(F.col(d) == n, float(np.log(trust))).otherwise(float(np.log(other)))) for n in names])
-    joined = scored.join(small(durable(priors), 50_000), F.col(h).eqNullSafe(F.col("_h1")) & F.col(x).eqNullSafe(F.col("_x1")), "left")
-    fused = F.zip_with(F.zip_with(F.col(s), F.col("_prior"), lambda a, b: a + b), told, lambda a, b: a + b)
+    joined = scored.join(small(durable(priors), 50_000), F.col(h).eqNullSafe(F.col(h1)) & F.col(x).eqNullSafe(F.col(x1)), "left")
+    fused = F.zip_with(F.zip_with(F.col(s), F.col(prior), lambda a, b: a + b), told, lambda a, b: a + b)
     fused = joined.withColumn(best, fused)
     top = F.array_max(best)
     posterior = 1.0 / F.aggregate(best, F.lit(0.0), lambda a, v: a + F.exp(v - top))

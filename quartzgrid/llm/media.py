@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import flac
-from .common import ship
+from .common import fresh, ship
 
 #: Payload bytes that are encoded and decoded in one go: bounds the memory of a Python worker. A longer text
 #: makes a batch of its own.
@@ -95,4 +95,5 @@ def add_media(df: DataFrame, text: str = "text", keep_media: bool = True) -> Dat
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in names]
     if not keep_media:
         names = names[:7]
-    return df.select(*kept, flac_media(F.col(text), keep_media).alias("_media")).select("*", *[f"_media.{n}" for n in names]).drop("_media")
+    (made,) = fresh(df, "_media")
+    return df.select(*kept, flac_media(F.col(text), keep_media).alias(made)).select("*", *[F.col(made)[n].alias(n) for n in names]).drop(made)

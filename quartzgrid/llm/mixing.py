@@ -103,18 +103,20 @@ def mix_sources(
     gives an empty result.
     """
     df = df.drop(*[c for c in df.columns if c.lower() in ("size", "source_size", "target", "taken")])
-    (h,) = fresh(df, "_h")
+    h, of, found_at = fresh(df, "_h", "_of", "_found_at")
     measured = {"size": word_count(F.col(text)), h: mix_hash(F.col(key), seed)}
     sized = durable(df.select(F.col(source).alias("source"), measured["size"].alias("size"), measured[h].alias("_h")))
     targets = durable(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeat))
-    found = small_by_source(_thresholds(sized, targets).withColumnRenamed("source", "_src"))
-    part = F.floor(F.col("size") * F.col("_part") / F.col("_group"))
-    extra = F.when(F.col(h) < F.col("_cut"), F.col("size")).when((F.col(h) == F.col("_cut")) & (F.col("_group") > 0), part).otherwise(0)
+    cuts = _thresholds(sized, targets)
+    found = small_by_source(cuts.select(F.col("source").alias(of), F.struct(*[c for c in cuts.columns if c != "source"]).alias(found_at)))
+    at = F.col(found_at)
+    part = F.floor(F.col("size") * at["_part"] / at["_group"])
+    extra = F.when(F.col(h) < at["_cut"], F.col("size")).when((F.col(h) == at["_cut"]) & (at["_group"] > 0), part).otherwise(0)
     return (
         df.withColumns(measured)
-        .join(found, F.col(source).eqNullSafe(F.col("_src")), "left")
-        .withColumn("taken", (F.col("_full") * F.col("size") + extra).cast("long"))
-        .select(*[F.col(f"`{c}`") for c in df.columns], "size", "source_size", "target", "taken")
+        .join(found, F.col(source).eqNullSafe(F.col(of)), "left")
+        .withColumn("taken", (at["_full"] * F.col("size") + extra).cast("long"))
+        .select(*[F.col(f"`{c}`") for c in df.columns], "size", at["source_size"].alias("source_size"), at["target"].alias("target"), "taken")
     )
 
 

@@ -55,7 +55,7 @@ def shard_records(
     if n_shards < 1:
         raise ValueError("n_shards must be 1 or more")
     df = df.drop(*[c for c in df.columns if c.lower() in ("size", "shard", "slot", "grown_shard")])
-    sub, spread, pos, perm, base, n = fresh(df, "_sub", "_spread", "_pos", "_perm", "_base", "_n")
+    sub, spread, pos, perm, base, n, of_shard, of_sub = fresh(df, "_sub", "_spread", "_pos", "_perm", "_base", "_n", "_of_shard", "_of_sub")
     size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + 1
     rows, total = df.agg(F.count(F.lit(1)), F.sum(size)).first()
     buckets = max(1, -(-(total or 0) // (bucket_bytes * n_shards)), -(-rows // (bucket_rows * n_shards)))
@@ -79,12 +79,12 @@ def shard_records(
         .repartition(max(8, rows // 4_000_000), "shard", sub)
         .sortWithinPartitions("shard", sub)
         .withColumn(perm, F.shuffle(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")), F.lit(seed)))
-        .select(F.col("shard").alias(f"{n}_s"), F.col(sub).alias(f"{n}_b"), base, perm)
+        .select(F.col("shard").alias(of_shard), F.col(sub).alias(of_sub), base, perm)
     )
     placed = scattered.withColumn(pos, F.row_number().over(Window.partitionBy("shard", sub).orderBy(spread)))
     slot = (F.col(base) + F.element_at(F.col(perm), F.col(pos))).cast("long")
     return (
-        placed.join(drawn, (F.col("shard") == F.col(f"{n}_s")) & (F.col(sub) == F.col(f"{n}_b")))
+        placed.join(drawn, (F.col("shard") == F.col(of_shard)) & (F.col(sub) == F.col(of_sub)))
         .withColumn("slot", slot)
         .select(*[F.col(f"`{c}`") for c in df.columns], "size", "shard", "slot", "grown_shard")
     )

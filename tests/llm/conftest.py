@@ -6,7 +6,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string, row string, spans int"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string, row string, spans int, _part int, _prior int, _media int, _n int, _of int, _row int, _h int, _copy int"
 
 
 @pytest.fixture(scope="session")
@@ -15,7 +15,7 @@ def table(spark, tmp_path_factory):
 
     def make(rows, parts=3):
         """rows: (doc_id, text) or (doc_id, text, lang, source)."""
-        full = [(*r, *(("en", "a")[len(r) - 2 :] if len(r) < 4 else ()), None, "x", "y", None, 7) for r in rows]
+        full = [(*r, *(("en", "a")[len(r) - 2 :] if len(r) < 4 else ()), None, "x", "y", None, 7, *range(8)) for r in rows]
         path = str(tmp_path_factory.mktemp("docs") / "t")
         spark.createDataFrame(full, DOCS).repartition(parts).write.parquet(path)
         return spark.read.parquet(path)
