@@ -17,10 +17,12 @@ from quartzgrid.llm.common import durable, fresh, small
 SMALL_ROWS = 2_000_000
 
 
-def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with the row number that operators report; the rows come from files, so it is the same each time."""
-    (name,) = fresh(docs, "_row")
-    return docs.withColumn(name, F.monotonically_increasing_id()), name
+def _pick(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """The documents that are, or are not, among the row numbers that an operator reported; the rows come from
+    files, so a row has the same number each time."""
+    own, theirs = fresh(docs, "_row", "_chosen")
+    numbered = docs.withColumn(own, F.monotonically_increasing_id())
+    return numbered.join(small(durable(rows.select(F.col("row").alias(theirs))), SMALL_ROWS), F.col(own) == F.col(theirs), how).select(docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,23 +34,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The document of the least doc_id stays (of equal ones the first row; without doc_id last)."""
     found = ngram_join.jaccard_join(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
-    kept = durable(found.groupBy("component").agg(first.alias("x")).select(F.col("x.row").alias("_kept")))
-    numbered, row = _numbered(docs)
-    return numbered.join(small(kept, SMALL_ROWS), F.col(row) == F.col("_kept"), "left_semi").select(docs.columns)
+    return _pick(docs, found.groupBy("component").agg(first.alias("x")).select("x.row"), "left_semi")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    bad = durable(decontamination.decontaminate(docs, benchmark).where("contaminated").select(F.col("row").alias("_bad")))
-    numbered, row = _numbered(docs)
-    return numbered.join(small(bad, SMALL_ROWS), F.col(row) == F.col("_bad"), "left_anti").select(docs.columns)
+    return _pick(docs, decontamination.decontaminate(docs, benchmark).where("contaminated"), "left_anti")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it; the one that the budget cuts is taken whole from half on."""
     mix = mixing.mix_sources(docs)
     times = mixing.copies(F.col("size"), F.col("taken"))
-    return mix.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), times)).alias("_copy")).select(docs.columns)
+    (copy,) = fresh(mix, "_copy")
+    return mix.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), times)).alias(copy)).select(docs.columns)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
