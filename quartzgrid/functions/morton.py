@@ -19,10 +19,10 @@ def cell(coordinate: Column, integer: bool = False) -> Column:
     return whole.cast("long").bitwiseAND(F.lit(U32))
 
 
-def spread_steps(value: Column) -> list[Column]:
+def spread_steps(value: Column, masked: bool = False) -> list[Column]:
     """The value and what it is after each spreading step. No 16-bit mask comes first: byte 2 of a value beyond
-    65535 folds into byte 1 and byte 3 is lost, as the codes are defined."""
-    steps = [value.cast("long").bitwiseAND(F.lit(U32))]
+    65535 folds into byte 1 and byte 3 is lost, as the codes are defined. ``masked``: it is a cell number already."""
+    steps = [value if masked else value.cast("long").bitwiseAND(F.lit(U32))]
     for shift, mask in SPREAD:
         steps.append(steps[-1].bitwiseOR(F.shiftleft(steps[-1], shift)).bitwiseAND(F.lit(mask)))
     return steps
@@ -30,7 +30,7 @@ def spread_steps(value: Column) -> list[Column]:
 
 def morton(x: Column, y: Column) -> Column:
     """Interleave two cell numbers: x in the even bits, y in the odd bits, as a long of 0 to 2^32 - 1."""
-    return spread_steps(x)[-1].bitwiseOR(F.shiftleft(spread_steps(y)[-1], 1))
+    return spread_steps(x, True)[-1].bitwiseOR(F.shiftleft(spread_steps(y, True)[-1], 1))
 
 
 def check_bits(k: int) -> int:

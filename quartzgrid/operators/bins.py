@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.morton import bin_id, check_bits
 from ..functions.predicate import hot
+from .layout import coded
 
 #: Bins that are broadcast: 2^k rows of a few longs each.
 BROADCAST_BITS = 20
@@ -20,7 +21,7 @@ def with_bin(points: DataFrame, k: int) -> DataFrame:
 
 def histogram(points: DataFrame, k: int, dense: bool = False) -> DataFrame:
     """``bin, size`` of the bins that have points, or of all 2^k. Points without a code are in no bin."""
-    counts = with_bin(points.where("morton is not null"), k).groupBy("bin").agg(F.count(F.lit(1)).alias("size"))
+    counts = with_bin(coded(points), k).groupBy("bin").agg(F.count(F.lit(1)).alias("size"))
     if not dense:
         return counts
     every = points.sparkSession.range(1 << check_bits(k)).withColumnRenamed("id", "bin")
@@ -49,7 +50,7 @@ def scatter_slots(points: DataFrame, k: int) -> DataFrame:
     Z-order. Bins are numbered in parallel; the slots are a permutation of 0 to n - 1."""
     starts = histogram(points, k).withColumn("_offset", _before("size", k)).select("bin", "_offset")
     rank = F.row_number().over(Window.partitionBy("bin").orderBy("morton", "id"))
-    binned = with_bin(points.where("morton is not null"), k)
+    binned = with_bin(coded(points), k)
     return binned.join(_by_bin(starts, k), "bin").withColumn("slot", F.col("_offset") + rank - 1).drop("_offset")
 
 
@@ -60,7 +61,7 @@ def strategy(size: Column) -> Column:
 
 def summary(points: DataFrame, k: int, threshold: float, precision: str = "float") -> DataFrame:
     """``bin, size, hot_count, kernel`` of the bins that have points."""
-    binned = with_bin(points.where("morton is not null"), k)
+    binned = with_bin(coded(points), k)
     sums = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("size"), F.count_if(hot(F.col("temp"), threshold, precision)).alias("hot_count"))
     return sums.withColumn("kernel", strategy(F.col("size")))
 
@@ -71,7 +72,7 @@ def partition_compact(points: DataFrame, k: int, threshold: float, precision: st
     The filter comes before the numbering, so only hot rows are exchanged.
     """
     per_bin = summary(points, k, threshold, precision).withColumn("_out", _before("hot_count", k)).select("bin", "_out", "kernel")
-    kept = with_bin(points.where("morton is not null").where(hot(F.col("temp"), threshold, precision)), k)
+    kept = with_bin(coded(points).where(hot(F.col("temp"), threshold, precision)), k)
     rank = F.row_number().over(Window.partitionBy("bin").orderBy("morton", "id"))
     return kept.join(_by_bin(per_bin, k), "bin").withColumn("out_slot", F.col("_out") + rank - 1).drop("_out")
 

@@ -36,12 +36,12 @@ def compact_variant(points: DataFrame, variant: str, threshold: float, k: int =
 def group_counts(points: DataFrame, threshold: float, width: int, name: str) -> DataFrame:
     """Hot points among each ``width`` neighbours in Z-order (blocks of 256, warps of 32)."""
     placed = with_position(points)
-    return placed.groupBy(F.floor(F.col("pos") / width).alias(name)).agg(F.count(F.lit(1)).alias("size"), F.count_if(hot(F.col("temp"), threshold)).alias("hot_count"))
+    return placed.groupBy(F.expr(f"pos div {int(width)}").alias(name)).agg(F.count(F.lit(1)).alias("size"), F.count_if(hot(F.col("temp"), threshold)).alias("hot_count"))
 
 
 def group_ranks(points: DataFrame, threshold: float, width: int, name: str) -> DataFrame:
     """The hot points with their place (from 0) among the hot ones of their block or warp."""
-    placed = with_position(points).withColumn(name, F.floor(F.col("pos") / width))
+    placed = with_position(points).withColumn(name, F.expr(f"pos div {int(width)}"))
     kept = placed.where(hot(F.col("temp"), threshold))
     rank = F.row_number().over(Window.partitionBy(name).orderBy("pos"))
     return kept.withColumn("rank", rank.cast("long") - 1)

@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from ..functions.morton import cell, morton
 
 
+def _cell_of(points: DataFrame, name: str) -> Column:
+    whole = isinstance(points.schema[name].dataType, (ByteType, ShortType, IntegerType, LongType))
+    return cell(F.col(name), whole)
+
+
 def with_morton(points: DataFrame) -> DataFrame:
     """``points`` plus ``morton`` from x and y; null where a coordinate has no cell."""
-    whole = lambda c: isinstance(points.schema[c].dataType, (ByteType, ShortType, IntegerType, LongType))
-    return points.withColumn("morton", morton(cell(F.col("x"), whole("x")), cell(F.col("y"), whole("y"))))
+    return points.withColumn("morton", morton(_cell_of(points, "x"), _cell_of(points, "y")))
+
+
+def coded(points: DataFrame) -> DataFrame:
+    """The points that have a code. The filter is on the coordinates: short, and a plain null test for integers, where
+    one on the code would be computed in full a second time."""
+    return points.where(_cell_of(points, "x").isNotNull() & _cell_of(points, "y").isNotNull())
 
 
 def sort_by_morton(points: DataFrame) -> DataFrame:
@@ -29,8 +39,6 @@ def cluster_by_morton(points: DataFrame, partitions: int | None = None) -> DataF
 def first_points(points: DataFrame, n: int) -> DataFrame:
     """The first n points in Z-order with their place ``rn`` (from 1). Takes n before numbering: a top-n per task,
     and the numbering sees n rows."""
-    from pyspark.sql import Window
-
     top = points.orderBy("morton", "id").limit(n)
     return top.withColumn("rn", F.row_number().over(Window.orderBy("morton", "id")).cast("long"))
 
@@ -41,8 +49,6 @@ def with_position(points: DataFrame) -> DataFrame:
     Rows are counted by range of codes (the leading 12 bits), the counts are summed up over at most 4,096 rows, and
     rows are numbered inside their range. Points without a code come first.
     """
-    from pyspark.sql import Window
-
     key = F.coalesce(F.shiftright("morton", 20), F.lit(-1).cast("long"))
     counts = points.groupBy(key.alias("_range")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -15,7 +15,7 @@ def to_surface(points: DataFrame, threshold: float, width: int) -> DataFrame:
         raise ValueError("width must be 1 or more")
     placed = with_position(compact(points, threshold))
     return placed.select(
-        F.pmod("pos", F.lit(width)).alias("sx"), F.floor(F.col("pos") / width).alias("sy"),
+        F.pmod("pos", F.lit(width)).alias("sx"), F.expr(f"pos div {int(width)}").alias("sy"),
         F.col("vx").alias("c0"), F.col("vy").alias("c1"), F.col("temp").alias("c2"), F.lit(1.0).cast("float").alias("c3"),
     )
 
