@@ -14,7 +14,8 @@ similarity of their sets reaches ``percent``; components follow links. The steps
    checks in proportion to its size, not to its pairs.
 5. *Index.* Lists that still hold several components: tokens of short lists (rare ones) are indexed singly, those
    of long lists (frequent ones) in combinations of two within the extended prefix. All pairs across components
-   that meet in the index and fit in size are verified.
+   that meet in the index are verified, if their sizes, their numbers of shared tokens and the ranks at which they
+   meet allow the similarity.
 
 No pair is left out: a pair that isn't verified is in one component already, or lacks the tokens to be linked.
 """
@@ -32,7 +33,7 @@ SHINGLE, PERCENT = 5, 80
 PROBE = 0.3
 #: A list is rare as long as the pairs across its components are no more than so many for each member.
 RARE_PAIRS = 48
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 #: Rows of one long that are broadcast to pick texts, by count; above, the texts are joined by shuffle.
 SMALL_ROWS = 2_000_000
 
@@ -59,9 +60,17 @@ def prefix_size(n: Column, percent: int) -> Column:
     return n - F.floor((n * percent + 99) / 100) + 1
 
 
-def _fits(a: Column, b: Column, percent: int) -> Column:
-    """Sizes that allow the similarity."""
-    return (a * 100 >= b * percent) & (b * 100 >= a * percent)
+def _overlap(a: Column, b: Column, percent: int) -> Column:
+    """The number of shared tokens that sets of two sizes need."""
+    return F.floor((percent * (a + b) + 99 + percent) / (100 + percent))
+
+
+def _fits(x: dict[str, Column], y: dict[str, Column], percent: int, more: int = 0) -> Column:
+    """Sizes ``n``, and numbers ``m`` of tokens that other classes have too, allow the similarity. With ranks ``r`` in
+    the order of rarity: the pair may have its first common token here (with ``more``: that one or one further)."""
+    need = _overlap(x["n"], y["n"], percent)
+    place = lambda z: z.get("r", F.lit(0)) + need <= z["m"] + more
+    return (x["n"] * 100 >= y["n"] * percent) & (y["n"] * 100 >= x["n"] * percent) & place(x) & place(y)
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -136,9 +145,8 @@ def jaccard_join(
     free = prefix_size(F.col("n"), percent) - (F.col("n") - F.col("m"))  # prefix places left for shared tokens
     sets = gathered.where(free > 0).select("cls", "n", F.sort_array("x")["token"].alias("tokens"), free.cast("int").alias("places"), (F.col("m") / F.col("n")).alias("central"))
     sets = durable(sets)
-    prefix = lambda more: F.explode(F.slice("tokens", F.lit(1), F.col("places") + more)).alias("token")
-    lists = sets.select("cls", "n", "central", prefix(0))
-    lists = durable(lists)
+    prefix = lambda more: sets.select("cls", "n", F.size("tokens").alias("m"), "central", F.posexplode(F.slice("tokens", F.lit(1), F.col("places") + more)).alias("r", "token"))
+    lists = durable(prefix(0))
 
     # 4. early links
     links, tested = None, None
@@ -146,8 +154,9 @@ def jaccard_join(
         now = durable(_open(_labelled(lists, links)))
         # the first pivot is the class with the most shared tokens; later ones come from a random component
         by = F.struct(F.lit(0).alias("h"), F.col("central"), (-F.col("cls")).alias("c")) if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "label").alias("h"), F.col("central"), (-F.col("cls")).alias("c"))
-        pivots = now.groupBy("token").agg(F.max_by(F.struct("cls", "n", "label"), by).alias("p"))
-        pairs = now.join(pivots, "token").where(F.col("label") != F.col("p.label")).where(_fits(F.col("n"), F.col("p.n"), percent))
+        pivots = now.groupBy("token").agg(F.max_by(F.struct("cls", "n", "m", "label"), by).alias("p"))
+        fits = _fits({"n": F.col("n"), "m": F.col("m")}, {"n": F.col("p.n"), "m": F.col("p.m")}, percent)
+        pairs = now.join(pivots, "token").where((F.col("label") != F.col("p.label")) & fits)
         pairs = pairs.select(F.greatest("cls", "p.cls").alias("b"), F.least("cls", "p.cls").alias("a")).distinct()
         pairs = durable(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         if pairs.limit(1).count() == 0:
@@ -157,22 +166,23 @@ def jaccard_join(
         links = durable(found if links is None else links.unionByName(found))
 
     # 5. the index of rare tokens and of combinations of frequent ones
-    wide = sets.select("cls", "n", "central", prefix(1))
-    now = durable(_open(_labelled(wide, links)))
+    now = durable(_open(_labelled(prefix(1), links)))
     if now.limit(1).count():
         members = now.groupBy("token", "label").agg(F.count(F.lit(1)).alias("m"))
         size = members.groupBy("token").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("s2"))
         rated = durable(now.join(size.select("token", ((F.col("s") * F.col("s") - F.col("s2")) / 2 <= rare_pairs * F.col("s")).alias("rare")), "token"))
-        singles = rated.where("rare").select(F.col("token").alias("t1"), F.lit(0).cast("long").alias("t2"), F.lit(False).alias("two"), "cls", "n", "label")
+        singles = rated.where("rare").select(F.col("token").alias("t1"), F.lit(0).cast("long").alias("t2"), F.lit(False).alias("two"), "cls", "n", "m", "r", "label")
         often = rated.where("not rare")
-        other = often.select(F.col("cls").alias("c2"), F.col("token").alias("t2"))
-        twos = often.join(other, (F.col("cls") == F.col("c2")) & (F.col("token") < F.col("t2"))).select(F.col("token").alias("t1"), "t2", F.lit(True).alias("two"), "cls", "n", "label")
+        other = often.select(F.col("cls").alias("c2"), F.col("token").alias("t2"), F.col("r").alias("r2"))
+        twos = often.join(other, (F.col("cls") == F.col("c2")) & (F.col("token") < F.col("t2")))
+        twos = twos.select(F.col("token").alias("t1"), "t2", F.lit(True).alias("two"), "cls", "n", "m", F.greatest("r", "r2").alias("r"), "label")
         index = durable(singles.unionByName(twos))
         several = index.groupBy("t1", "t2", "two").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").drop("lo", "hi")
         index = index.join(several, ["t1", "t2", "two"], "left_semi")
-        right = index.select("t1", "t2", "two", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-        pairs = index.join(right, ["t1", "t2", "two"]).where((F.col("cls") < F.col("b")) & (F.col("label") != F.col("lb")) & _fits(F.col("n"), F.col("nb"), percent))
-        pairs = pairs.select(F.col("cls").alias("a"), "b").distinct()
+        right = index.select("t1", "t2", "two", *[F.col(c).alias(f"{c}_") for c in ("cls", "n", "m", "r", "label")])
+        fits = _fits({c: F.col(c) for c in "nmr"}, {c: F.col(f"{c}_") for c in "nmr"}, percent, 1)
+        pairs = index.join(right, ["t1", "t2", "two"]).where((F.col("cls") < F.col("cls_")) & (F.col("label") != F.col("label_")) & fits)
+        pairs = pairs.select(F.col("cls").alias("a"), F.col("cls_").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         found = _verify(durable(pairs), sets, percent)
