@@ -66,12 +66,17 @@ def summary(points: DataFrame, k: int, threshold: float, precision: str = "float
     return sums.withColumn("kernel", strategy(F.col("size")))
 
 
+def output_offsets(points: DataFrame, k: int, threshold: float, precision: str = "float") -> DataFrame:
+    """``summary`` plus ``out_offset``: where each bin's hot points begin in the compacted output."""
+    return summary(points, k, threshold, precision).withColumn("out_offset", _before("hot_count", k))
+
+
 def partition_compact(points: DataFrame, k: int, threshold: float, precision: str = "float") -> DataFrame:
     """The hot points, bins in order: ``bin``, ``out_slot`` (from 0 without gaps) and the bin's ``kernel``.
 
     The filter comes before the numbering, so only hot rows are exchanged.
     """
-    per_bin = summary(points, k, threshold, precision).withColumn("_out", _before("hot_count", k)).select("bin", "_out", "kernel")
+    per_bin = output_offsets(points, k, threshold, precision).select("bin", F.col("out_offset").alias("_out"), "kernel")
     kept = with_bin(coded(points).where(hot(F.col("temp"), threshold, precision)), k)
     rank = F.row_number().over(Window.partitionBy("bin").orderBy("morton", "id"))
     return kept.join(_by_bin(per_bin, k), "bin").withColumn("out_slot", F.col("_out") + rank - 1).drop("_out")

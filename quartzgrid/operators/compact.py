@@ -47,6 +47,14 @@ def group_ranks(points: DataFrame, threshold: float, width: int, name: str) -> D
     return kept.withColumn("rank", rank.cast("long") - 1)
 
 
+def warp_ballots(points: DataFrame, threshold: float) -> DataFrame:
+    """``warp, ballot, votes``: for each 32 neighbours in Z-order a mask with a bit for each hot one, and their number."""
+    placed = with_position(points)
+    vote = F.when(hot(F.col("temp"), threshold), F.expr(f"shiftleft(1L, cast(pos % {WARP} AS int))")).otherwise(0)
+    masks = placed.groupBy(F.expr(f"pos div {WARP}").alias("warp")).agg(F.sum(vote).alias("ballot"))
+    return masks.withColumn("votes", F.bit_count("ballot").cast("long"))
+
+
 def multi_threshold(points: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
     """Hot points by threshold, in one pass over the points."""
     sums = points.agg(*[F.count_if(hot(F.col("temp"), t)).alias(f"c{i}") for i, t in enumerate(thresholds)])

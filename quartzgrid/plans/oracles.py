@@ -78,6 +78,11 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN size <= 32 THEN 'bitmask' WHEN size <= 1024 THEN 'warp' ELSE 'shared' END AS kernel FROM sized WHERE {_hot(30)}""",
         "bin_summary_auto_kernel": _summary(_EVENTS),
         "flagship": _summary(_LINEITEM),
+        "bin_output_offsets": f"""{_LINEITEM}, sums AS (SELECT morton & 255 AS bin, count(*) FILTER ({_hot(30)}) AS hot_count FROM points GROUP BY 1)
+            SELECT bin, hot_count, coalesce(sum(hot_count) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS out_offset FROM sums""",
+        "warp_ballots": f"""{_PLACED}, masks AS (SELECT pos // 32 AS warp, sum(CASE WHEN {_hot(30)} THEN 1::BIGINT << (pos % 32)::INTEGER ELSE 0 END)::BIGINT AS ballot FROM placed GROUP BY 1)
+            SELECT warp, ballot, bit_count(ballot)::BIGINT AS votes FROM masks""",
+        "surface_shape": "SELECT 64::BIGINT AS width, (count(*) + 63) // 64 AS height FROM orders",
         "one_bin": f"{_ORDERS} SELECT id, morton & 255 AS bin, temp FROM points WHERE morton & 255 = 42 AND {_hot(30)}",
         "morton_sort": f"{_PLACED} SELECT id, morton, pos FROM placed",
         "morton_sort_topn": f"{_PLACED} SELECT pos + 1 AS rn, id, x, y, vx, vy, temp, morton FROM placed WHERE pos < 10",

@@ -91,6 +91,19 @@ def bin_summary_auto_kernel(spark, sf_dir):
     return bins.summary(events(spark, sf_dir), 8, DEMO)
 
 
+def bin_output_offsets(spark, sf_dir):
+    return bins.output_offsets(lineitem(spark, sf_dir), 8, DEMO).select("bin", "hot_count", "out_offset")
+
+
+def warp_ballots(spark, sf_dir):
+    return compact.warp_ballots(orders(spark, sf_dir), DEMO)
+
+
+def surface_shape(spark, sf_dir):
+    """Width and height of a surface with room for all points."""
+    return orders(spark, sf_dir).agg(F.count(F.lit(1)).alias("n")).select(F.lit(64).cast("long").alias("width"), F.expr("(n + 63) div 64").alias("height"))
+
+
 def one_bin(spark, sf_dir):
     return bins.one_bin(orders(spark, sf_dir), 8, 42, DEMO).select("id", "bin", "temp")
 
@@ -148,7 +161,7 @@ def multi_threshold(spark, sf_dir):
 def queries() -> dict[str, Query]:
     plain = (
         morton_encode, binary_format, bit_trace, compact_float, compact_double, narrowed, compact_lineitem, compact_count, bin_histogram,
-        bin_histogram_dense, bin_offsets, bin_scatter_slots, bin_partition_compact, bin_summary_auto_kernel, one_bin, flagship, morton_sort,
+        bin_histogram_dense, bin_offsets, bin_scatter_slots, bin_partition_compact, bin_summary_auto_kernel, bin_output_offsets, warp_ballots, surface_shape, one_bin, flagship, morton_sort,
         morton_sort_topn, morton_cluster, surface_pack_w64, grid_generate_n1000, positional_compare, variant_equivalence, bench_matrix, multi_threshold,
     )
     out: dict[str, Query] = {f.__name__: f for f in plain}
