@@ -7,9 +7,9 @@ meet:
 1. Each text gives its anchors and the region of bytes that each anchor's windows cover, with a hash of the region.
 2. Anchors of one occurrence have no equal windows. A region that occurs twice or more is repeated as a whole. What
    is left are groups of an equal anchor and different regions.
-3. In those groups, the suffix array of the regions gives, by previous and next smaller positions in suffix order,
-   the longest previous factor of each place (and, by larger positions, the longest next factor). A window start
-   is repeated if its factor reaches over the window.
+3. In those groups, regions without a window of an equal hash are put aside. For the rest, the suffix array gives,
+   by previous and next smaller positions in suffix order, the longest previous factor of each place (and, by
+   larger positions, the longest next factor). A window start is repeated if its factor reaches over the window.
 4. A group of more than ``most_regions`` different regions isn't gathered into one task: the windows of its
    regions are counted by their hash instead, pre-aggregated per task.
 
@@ -26,16 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, ship
+from .common import durable, ship, small
 from .lpf import BASE, Rolling, anchors, factors
 
 WINDOW, GRAM = 400, 64
 #: Different regions of one anchor that one task handles together (about 2 MB of text).
 MOST_REGIONS = 4096
+#: Rows of one long that are broadcast to pick texts, by count.
+SMALL_ROWS = 2_000_000
 #: Window starts of one text that are hashed in one go.
 PIECE = 4 << 20
-#: Bytes of regions whose suffix array is built in one go.
-KERNEL_BYTES = 1 << 20
+#: Bytes of regions that are read, and of those whose suffix array is built, in one go (small arrays stay in cache).
+HELD_BYTES, KERNEL_BYTES = 1 << 20, 1 << 15
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -127,46 +129,74 @@ def _runs(flags: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(edges[::2].tolist(), (edges[1::2] - 1).tolist(), strict=True)
 
 
+Region = tuple[int, int, int, bytes]  # anchor, row, first byte, bytes
+
+
+def _candidates(regions: list[Region], window: int) -> list[Region]:
+    """The regions of which some window has the hash of another window, cut to the span of such windows."""
+    hashes = [Rolling(np.frombuffer(d, np.uint8)).all_of(window) for *_, d in regions]
+    ends = np.cumsum([len(h) for h in hashes])
+    flat = np.concatenate(hashes)
+    order = np.argsort(flat)
+    same = flat[order][1:] == flat[order][:-1]
+    again = np.zeros(len(flat), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    out = []
+    for (anchor, row, first, d), h, end in zip(regions, hashes, ends.tolist(), strict=True):
+        at = np.flatnonzero(again[end - len(h) : end])
+        if len(at):
+            out.append((anchor, row, first + int(at[0]), d[at[0] : at[-1] + window]))
+    return out
+
+
+def _repeated_runs(regions: list[Region], window: int, keep_first: bool) -> Iterator[tuple[int, int, int]]:
+    """(row, first, last) of the window starts that the suffix array of the regions finds again."""
+    # a byte that UTF-8 never has ends each region, so no window over an end equals a real one
+    data = np.frombuffer(b"\xff".join([*(d for *_, d in regions), b""]), np.uint8)
+    before, after = factors(data, window, window)
+    reach = before if keep_first else np.maximum(before, after)
+    at = 0
+    for _, row, first, d in regions:
+        for a, b in _runs(reach[at : at + len(d) - window + 1] >= window):
+            yield row, first + a, first + b
+        at += len(d) + 1
+
+
+def _packed(regions: list[Region], most: int) -> Iterator[list[Region]]:
+    """Whole groups of an anchor, together up to about ``most`` bytes; ``regions`` are sorted by anchor."""
+    own: list[Region] = []
+    size = 0
+    for i, region in enumerate(regions):
+        if size > most and region[0] != regions[i - 1][0]:
+            yield own
+            own, size = [], 0
+        own.append(region)
+        size += len(region[3])
+    if own:
+        yield own
+
+
 def _match_regions(window: int, keep_first: bool):
-    """Runs of repeated window starts. Partitions are sorted by anchor; whole groups are packed into one kernel call
+    """Runs of repeated window starts. Partitions are sorted by anchor; whole groups go through one kernel call
     (equal windows have equal anchors, so groups don't mix up)."""
 
-    def solve(regions: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, int]]:
-        # a byte that UTF-8 never has ends each region, so no window over an end equals a real one
-        data = np.frombuffer(b"\xff".join([*(d for _, _, d in regions), b""]), np.uint8)
-        before, after = factors(data, window, window)
-        reach = before if keep_first else np.maximum(before, after)
-        at = 0
-        for row, first, d in regions:
-            for a, b in _runs(reach[at : at + len(d) - window + 1] >= window):
-                yield row, first + a, first + b
-            at += len(d) + 1
+    def flush(regions: list[Region]) -> Iterator[pa.RecordBatch]:
+        found = [x for own in _packed(_candidates(regions, window), KERNEL_BYTES) for x in _repeated_runs(own, window, keep_first)]
+        if found:
+            yield pa.RecordBatch.from_pydict(dict(zip(("row", "first", "last"), map(list, zip(*found, strict=True)), strict=True)), schema=RUN_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: list[tuple[int, int, bytes]] = []  # whole groups
-        group: list[tuple[int, int, bytes]] = []
-        anchor, size = None, 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            found = list(solve(done)) if done else []
-            done.clear()
-            if found:
-                yield pa.RecordBatch.from_pydict(dict(zip(("row", "first", "last"), map(list, zip(*found, strict=True)), strict=True)), schema=RUN_ARROW)
-
+        waiting: list[Region] = []
+        size = 0
         for batch in batches:
-            for row, a, first, d in zip(*(batch.column(c).to_pylist() for c in ("row", "anchor", "first", "data")), strict=True):
-                if a != anchor:
-                    if size > KERNEL_BYTES:
-                        done.extend(group)
-                        group = []
-                        yield from flush()
-                        size = 0
-                    done.extend(group)
-                    group, anchor = [], a
-                group.append((row, first, d))
-                size += len(d)
-        done.extend(group)
-        yield from flush()
+            for region in zip(*(batch.column(c).to_pylist() for c in ("anchor", "row", "first", "data")), strict=True):
+                if size > HELD_BYTES and region[0] != waiting[-1][0]:
+                    yield from flush(waiting)
+                    waiting, size = [], 0
+                waiting.append(region)
+                size += len(region[3])
+        if waiting:
+            yield from flush(waiting)
 
     return run
 
@@ -202,6 +232,14 @@ CUT_TYPE = "row long, n_removed long, removed array<struct<first:long,last:long>
 CUT_ARROW = pa.schema([("row", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.list_(_RUN)), ("kept_digest", pa.string()), ("kept", pa.binary())])
 
 
+def _pick(docs: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
+    """``row, text`` and the columns of ``chosen`` (by ``row``). If the row numbers are counted to be few, they are
+    broadcast first, so that other texts are not shuffled."""
+    texts = docs.where(F.octet_length("text") >= window).select("row", "text")
+    rows = small(chosen.select("row"), SMALL_ROWS)
+    return texts.join(rows, "row", "left_semi").join(chosen, "row")
+
+
 def remove_repeats(
     df: DataFrame,
     *,
@@ -245,7 +283,8 @@ def remove_repeats(
     # different regions of one anchor, one occurrence of each
     open_groups = known.where(F.col("different") > 1) if keep_first else known.where("different > 1 and least_n = 1")
     wanted = open_groups.groupBy("row").agg(F.collect_list(F.struct("anchor", "first", "last", (F.col("different") > most_regions).alias("large"))).alias("wanted"))
-    cut = docs.where(F.octet_length("text") >= window).select("row", "text").join(wanted, "row").mapInArrow(_cut_regions(window), REGION_TYPE)
+    wanted = durable(wanted)
+    cut = _pick(docs, wanted, window).mapInArrow(_cut_regions(window), REGION_TYPE)
     has_large = by_anchor.where(F.col("different") > most_regions).limit(1).count() > 0
     cut = durable(cut) if has_large else cut
     parts = cut.where("data is not null").select("row", "anchor", "first", "data")
@@ -262,7 +301,7 @@ def remove_repeats(
         repeated = repeated.unionByName(large.select("row", "first", F.col("first").alias("last")))
 
     runs = repeated.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    left = docs.where(F.octet_length("text") >= window).select("row", "text").join(runs, "row").mapInArrow(_cut_texts(window, keep_text), CUT_TYPE)
+    left = _pick(docs, durable(runs), window).mapInArrow(_cut_texts(window, keep_text), CUT_TYPE)
     out = base.select("row", "key", "n_bytes", "digest").join(left, "row", "left")
     return out.select(
         F.col("key").alias(key),
