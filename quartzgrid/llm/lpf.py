@@ -9,6 +9,8 @@ import numpy as np
 #: Any odd number works; powers of it and of its inverse shift a rolling sum.
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
+#: Bits of a place in a piece.
+PLACE_BITS = 23
 
 
 @functools.lru_cache(2)
@@ -58,8 +60,11 @@ def anchors(data: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.nd
     if n < 1:
         e = np.zeros(0, np.int64)
         return e, e.astype(np.uint64), e, e
+    if len(data) >= 1 << PLACE_BITS:
+        raise ValueError(f"a piece must have fewer than {1 << PLACE_BITS} bytes")
     h = Rolling(data).all_of(gram)
-    place_bits = max(1, len(h).bit_length())
+    # the same bits of the hash count in every piece, whatever its length, or equal windows could differ in anchors
+    place_bits = PLACE_BITS
     value = (h >> np.uint64(place_bits) << np.uint64(place_bits)) | np.arange(len(h), dtype=np.uint64)
     # minimum over a sliding span: suffix minima of one block and prefix minima of the next
     padded = np.full(-(-len(value) // span) * span, MASK, np.uint64)
