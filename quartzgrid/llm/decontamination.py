@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, durable, small
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: All but the code points 00-2F, 3A-60 and 7B-7F, spelled as what they leave of lower-cased text: the regex engine
+#: is many times faster on this class than on the negated one.
+WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 WINDOW, SHINGLE = 13, 3
 #: Most windows that are broadcast (each is a few hundred bytes).
 SMALL_WINDOWS = 200_000
