@@ -42,7 +42,7 @@ ENCODINGS = (
     ("digits", r"^[0-9]+$", DIGITS),
     ("hex", r"^[0-9a-f]+$", DIGITS + LOWER[:6]),
     ("HEX", r"^[0-9A-F]+$", DIGITS + UPPER[:6]),
-    ("lower", r"^[a-z]+$", LOWER),
+    ("word", r"^[A-Z]?[a-z]+$", LOWER),
     ("upper", r"^[A-Z]+$", UPPER),
     ("base32", r"^[A-Z2-7]+$", UPPER + "234567"),
     ("base36", r"^[A-Z0-9]+$", DIGITS + UPPER),
@@ -52,6 +52,9 @@ ENCODINGS = (
     ("base64url", r"^[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_"),
     ("mixed", r"", UPPER + LOWER + DIGITS + "+/-_"),
 )
+#: Encodings of letters or digits alone need more length: below it the tests cannot tell long words and numbers from
+#: random ones, so such tokens are not reported.
+LEAST_LENGTH = {"word": 52, "upper": 52, "digits": 40}
 #: Lower ends of the length classes.
 CLASSES = (20, 24, 32, 48, 96)
 #: Bins of the histogram: so many to a factor of ten of the p value, down to the last bin.
@@ -176,6 +179,10 @@ def scan_secrets(df: DataFrame, *, key: str = "doc_id", text: str = "text", rate
 
     random = KINDS.index("random")
     tested = battery(rows.where(F.col("kind") == random), "token")
+    least = F.lit(0)
+    for encoding, length in LEAST_LENGTH.items():
+        least = F.when(F.col("encoding") == encoding, length).otherwise(least)
+    tested = tested.where(F.col("length") >= least)
     length_class = sum((F.when(F.col("length") >= c, 1).otherwise(0) for c in CLASSES), F.lit(0))
     spot = F.least(F.lit(LAST_BIN), F.floor(-F.log10(F.greatest(F.col("p_value"), F.lit(1e-100))) * BINS)).cast("int")
     tested = durable(tested.select("_key", r, "kind", "start", "end", length_class.alias("class"), spot.alias("bin")))
