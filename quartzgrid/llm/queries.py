@@ -51,6 +51,12 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *map(of_kind, secrets.BASE), F.sha2(secrets.spelled(base).cast("binary"), 256).alias("base_sha256"), secrets.spelled(F.col("spans")).alias("spans"))
 
 
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator over raw pages: declared by the markup, host and suffix from the address."""
+    out = langid.identify_pages(_table(spark, sf_dir, "pages"), langid.train(_table(spark, sf_dir, "documents")))
+    return out.select("page_id", "language", "confidence", "accepted", "text_language")
+
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     """The place of an installed public vocabulary file."""
     import public_tokenizers
@@ -95,5 +101,5 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
-    return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
+    numbered = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return dict(sorted(numbered.items(), key=lambda x: int(x[0][2:].split("_")[0]))) | {"language_of_pages": language_of_pages}

@@ -120,6 +120,7 @@ def test_language_of_pages(spark, sf_dir):
     docs, pages = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "pages"))
     out = langid.identify_pages(pages, langid.train(docs)).withColumn("told", langid.markup_language(F.col("html")))
     assert out.where("told is not null").count() and out.where("language = told").count() >= 0.95 * out.where("told is not null").count()
+    assert queries.language_of_pages(spark, sf_dir).where("accepted").count() >= 0.95 * pages.count()
     host, suffix = langid.address_parts(F.lit("https://user@Blog.Example.fr:80/x?y#z"))
     assert tuple(spark.range(1).select(host, suffix).first()) == ("blog.example.fr", "fr")
 
