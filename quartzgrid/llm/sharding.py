@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import fresh
 
+#: Bytes of records that one task of the exchange gets.
+TASK_BYTES = 128 << 20
+
 
 def _weights(key: Column, seed: int, n: int) -> list[Column]:
     return [F.xxhash64(F.lit(seed), key, F.lit(s)) for s in range(n)]
@@ -64,6 +67,8 @@ def shard_records(
     first = F.slice(w, 1, n_shards)
     shard = (F.array_position(first, F.array_max(first)) - 1).cast("int")
     grown = F.when(F.element_at(w, n_shards + 1) > F.array_max(first), F.lit(n_shards)).otherwise(shard)
+    # The exchange of the records grows with their bytes, whatever the session's number of shuffle partitions is.
+    partitions = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // TASK_BYTES))
     scattered = (
         df.withColumn(spread, F.xxhash64(F.lit(~seed), F.col(key), F.monotonically_increasing_id()))
         .withColumns({"size": size, "shard": shard, "grown_shard": grown})
@@ -81,7 +86,7 @@ def shard_records(
         .withColumn(perm, F.shuffle(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")), F.lit(seed)))
         .select(F.col("shard").alias(of_shard), F.col(sub).alias(of_sub), base, perm)
     )
-    placed = scattered.withColumn(pos, F.row_number().over(Window.partitionBy("shard", sub).orderBy(spread)))
+    placed = scattered.repartition(partitions, "shard", sub).withColumn(pos, F.row_number().over(Window.partitionBy("shard", sub).orderBy(spread)))
     slot = (F.col(base) + F.element_at(F.col(perm), F.col(pos))).cast("long")
     return (
         placed.join(drawn, (F.col("shard") == F.col(of_shard)) & (F.col(sub) == F.col(of_sub)))
