@@ -50,7 +50,7 @@ def shared_folder(spark: SparkSession) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and return the table read back.
 
-    The files outlive any executor. They are removed when the driver's JVM ends.
+    The files outlive any executor. They are removed by :func:`clean_up`, or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/quartzgrid-{uuid.uuid4().hex}"
@@ -58,9 +58,21 @@ def durable(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_tables: dict[str, list[str]] = {}
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Remove all tables that :func:`durable` has written for this application. Results that read them must have
+    been written elsewhere before."""
+    for path in _tables.pop(spark.sparkContext.applicationId, []):
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows by count, else unchanged (a shuffled join).
 

@@ -1,4 +1,5 @@
 from collections import Counter
+from pathlib import Path
 
 import brute
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quartzgrid.llm import queries
-from quartzgrid.llm.common import fresh, shared_folder
+from quartzgrid.llm.common import clean_up, durable, fresh, shared_folder
 
 
 def test_names():
@@ -19,6 +20,14 @@ def test_fresh_names(spark):
     assert fresh(spark.range(1).withColumn("_H", F.lit(1)), "_h", "x") == ["_h_", "x"]
 
 
+def test_durable_tables_can_be_removed(spark):
+    df = durable(spark.range(5))
+    (path,) = {str(f).rsplit("/", 1)[0].removeprefix("file://") for f in df.inputFiles()}
+    assert df.count() == 5 and Path(path).exists()
+    clean_up(spark)
+    assert not Path(path).exists()
+
+
 def test_shared_folder_must_be_set_on_a_cluster(spark, monkeypatch):
     class Far:
         master = "spark://host"
