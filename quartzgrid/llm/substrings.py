@@ -282,17 +282,19 @@ def remove_repeats(
 
     # different regions of one anchor, one occurrence of each
     open_groups = known.where(F.col("different") > 1) if keep_first else known.where("different > 1 and least_n = 1")
-    wanted = open_groups.groupBy("row").agg(F.collect_list(F.struct("anchor", "first", "last", (F.col("different") > most_regions).alias("large"))).alias("wanted"))
-    wanted = durable(wanted)
-    cut = _pick(docs, wanted, window).mapInArrow(_cut_regions(window), REGION_TYPE)
+    open_groups = open_groups.withColumn("large", F.col("different") > most_regions)
     has_large = by_anchor.where(F.col("different") > most_regions).limit(1).count() > 0
-    cut = durable(cut) if has_large else cut
-    parts = cut.where("data is not null").select("row", "anchor", "first", "data")
+
+    def cut(large: bool) -> DataFrame:
+        wanted = open_groups.where(F.col("large") == large).groupBy("row").agg(F.collect_list(F.struct("anchor", "first", "last", "large")).alias("wanted"))
+        return _pick(docs, durable(wanted), window).mapInArrow(_cut_regions(window), REGION_TYPE)
+
+    parts = cut(False).select("row", "anchor", "first", "data")
     order = ["anchor", "row", "first"]
     matched = parts.repartition("anchor").sortWithinPartitions(*order).mapInArrow(_match_regions(window, keep_first), "row long, first long, last long")
     repeated = repeated.unionByName(matched)
     if has_large:
-        windows = cut.where("data is null").select("row", "anchor", "first", F.posexplode("hashes").alias("i", "hash"))
+        windows = cut(True).select("row", "anchor", "first", F.posexplode("hashes").alias("i", "hash"))
         windows = windows.select("row", "anchor", (F.col("first") + F.col("i")).alias("first"), "hash")
         several = windows.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "first")).alias("one")).where("n > 1")
         large = windows.join(several, ["anchor", "hash"])
