@@ -83,11 +83,24 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(shared * 100 >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b")
 
 
-def _labelled(lists: DataFrame, links: DataFrame | None) -> DataFrame:
-    if links is None:
-        return lists.withColumn("label", F.col("cls"))
-    found = components(links)
-    return lists.join(small(found, SMALL_ROWS), F.col("cls") == F.col("node"), "left").withColumn("label", F.coalesce("label", "cls")).drop("node")
+class _Links:
+    """The links found so far, and the component of each class by them: worked out anew only when there are new ones."""
+
+    def __init__(self) -> None:
+        self.links: DataFrame | None = None
+        self.labels: DataFrame | None = None
+
+    def add(self, found: DataFrame) -> None:
+        found = durable(found)
+        if found.limit(1).count():
+            self.links = found if self.links is None else self.links.unionByName(found)
+            self.labels = durable(components(self.links))
+
+    def label(self, lists: DataFrame) -> DataFrame:
+        """``lists`` plus ``label``: the component of ``cls``, or the class itself."""
+        if self.labels is None:
+            return lists.withColumn("label", F.col("cls"))
+        return lists.join(small(self.labels, SMALL_ROWS), F.col("cls") == F.col("node"), "left").withColumn("label", F.coalesce("label", "cls")).drop("node")
 
 
 def _open(lists: DataFrame) -> DataFrame:
@@ -149,9 +162,9 @@ def jaccard_join(
     lists = durable(prefix(0))
 
     # 4. early links
-    links, tested = None, None
+    links, tested = _Links(), None
     for turn in range(pivot_rounds):
-        now = durable(_open(_labelled(lists, links)))
+        now = durable(_open(links.label(lists)))
         # the first pivot is the class with the most shared tokens; later ones come from a random component
         by = F.struct(F.lit(0).alias("h"), F.col("central"), (-F.col("cls")).alias("c")) if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "label").alias("h"), F.col("central"), (-F.col("cls")).alias("c"))
         pivots = now.groupBy("token").agg(F.max_by(F.struct("cls", "n", "m", "label"), by).alias("p"))
@@ -162,11 +175,10 @@ def jaccard_join(
         if pairs.limit(1).count() == 0:
             break
         tested = pairs if tested is None else tested.unionByName(pairs)
-        found = _verify(pairs, sets, percent)
-        links = durable(found if links is None else links.unionByName(found))
+        links.add(_verify(pairs, sets, percent))
 
     # 5. the index of rare tokens and of combinations of frequent ones
-    now = durable(_open(_labelled(prefix(1), links)))
+    now = durable(_open(links.label(prefix(1))))
     if now.limit(1).count():
         members = now.groupBy("token", "label").agg(F.count(F.lit(1)).alias("m"))
         size = members.groupBy("token").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("s2"))
@@ -185,11 +197,10 @@ def jaccard_join(
         pairs = pairs.select(F.col("cls").alias("a"), F.col("cls_").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        found = _verify(durable(pairs), sets, percent)
-        links = durable(found if links is None else links.unionByName(found))
+        links.add(_verify(durable(pairs), sets, percent))
 
     # component of each class, least key of each component
-    named = classes if links is None else classes.join(components(links), F.col("cls") == F.col("node"), "left").withColumn("cls", F.coalesce("label", "cls")).drop("node", "label")
+    named = links.label(classes).withColumn("cls", F.col("label")).drop("label")
     rows = base.select("row", "key", "n", "k1", "k2")  # empty sets are in no class
     keyed = rows.groupBy("n", "k1", "k2").agg(F.min("key").alias("least")).join(named, ["n", "k1", "k2"])
     least = keyed.groupBy("cls").agg(F.min("least").alias("component_id"))
