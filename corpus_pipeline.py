@@ -17,12 +17,18 @@ from quartzgrid.llm.common import durable, fresh, small
 SMALL_ROWS = 2_000_000
 
 
-def _pick(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    """The documents that are, or are not, among the row numbers that an operator reported; the rows come from
-    files, so a row has the same number each time."""
-    own, theirs = fresh(docs, "_row", "_chosen")
-    numbered = docs.withColumn(own, F.monotonically_increasing_id())
-    return numbered.join(small(durable(rows.select(F.col("row").alias(theirs))), SMALL_ROWS), F.col(own) == F.col(theirs), how).select(docs.columns)
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents stored with a number each, and the name of its column: the operator and :func:`_pick` read the
+    same numbers, however files are split."""
+    (own,) = fresh(docs, "_row")
+    return durable(docs.withColumn(own, F.monotonically_increasing_id())), own
+
+
+def _pick(docs: DataFrame, own: str, rows: DataFrame, how: str) -> DataFrame:
+    """The documents of :func:`_numbered` that are, or are not, among the row numbers that an operator reported."""
+    (theirs,) = fresh(docs, "_chosen")
+    chosen = small(durable(rows.select(F.col("row").alias(theirs))), SMALL_ROWS)
+    return docs.join(chosen, F.col(own) == F.col(theirs), how).drop(own)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,14 +38,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least doc_id stays (of equal ones the first row; without doc_id last)."""
-    found = ngram_join.jaccard_join(docs)
+    stored, own = _numbered(docs)
+    found = ngram_join.jaccard_join(stored, row=own)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
-    return _pick(docs, found.groupBy("component").agg(first.alias("x")).select("x.row"), "left_semi")
+    return _pick(stored, own, found.groupBy("component").agg(first.alias("x")).select("x.row"), "left_semi")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _pick(docs, decontamination.decontaminate(docs, benchmark).where("contaminated"), "left_anti")
+    stored, own = _numbered(docs)
+    return _pick(stored, own, decontamination.decontaminate(stored, benchmark, row=own).where("contaminated"), "left_anti")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,6 +73,19 @@ def clean_up(spark: SparkSession) -> None:
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def numbered(df: DataFrame, row: str | None, **columns: Column) -> DataFrame:
+    """``row`` and the given columns of ``df``, with row numbers that hold however often the result is read.
+
+    Files are split by the number of cores, anew for each action, so numbers that are drawn again after an executor
+    is lost can belong to other rows. Numbers and columns are therefore stored together, once. With ``row``, a column
+    of unique numbers in a table that is stored already, nothing is written.
+    """
+    own = [c.alias(name) for name, c in columns.items()]
+    if row is not None:
+        return df.select(F.col(row).alias("row"), *own)
+    return durable(df.select(F.monotonically_increasing_id().alias("row"), *own))
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows by count, else unchanged (a shuffled join).
 

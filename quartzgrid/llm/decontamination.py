@@ -75,20 +75,22 @@ def decontaminate(
     text: str = "text",
     item: str = "item_id",
     item_text: str = "text",
+    row: str | None = None,
     window: int = WINDOW,
 ) -> DataFrame:
     """One row a document: the key (as ``key``), ``n_words``, ``spans`` (hit runs of words, as struct<start, end>),
     ``n_hit``, ``items`` (ids as strings, sorted as strings), ``n_items`` and ``contaminated``.
 
     A word is hit if it lies inside any occurrence of a window; a document is contaminated if it has hit words and
-    they are a twentieth of its words or more. ``docs`` must return the same rows in the same partitions when read
-    again (files do).
+    they are a twentieth of its words or more. ``row`` of the result tells rows of equal key apart; to pick rows of
+    ``docs`` by it, store ``docs`` with unique numbers and give their column as ``row``.
 
     Null and empty texts have no words. Items without words have no windows. Equal windows of several items count
     for each item. Repeated rows are judged each; other columns are ignored; empty tables give empty results, or no
     hits.
     """
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), words(F.col(text)).alias("words"))
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    docs = docs.select(number.alias("row"), F.col(key).alias("key"), words(F.col(text)).alias("words"))
     by_item = item_windows(items, item=item, text=item_text, window=window)
     ids = durable(by_item.select("words", F.col("item").cast("string").alias("item")).distinct().withColumn("window", F.xxhash64("words")))
     windows = ids.select("window", "words").distinct()

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, ascii_lower, durable, small
+from .common import WORD, ascii_lower, durable, numbered, small
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -114,6 +114,7 @@ def jaccard_join(
     *,
     key: str = "doc_id",
     text: str = "text",
+    row: str | None = None,
     shingle: int = SHINGLE,
     percent: int = PERCENT,
     probe: float = PROBE,
@@ -124,13 +125,14 @@ def jaccard_join(
     included), ``row`` (a number of the row within its input) and ``component`` (a row number that is the same for all
     rows of a component, and for no others).
 
-    ``df`` must return the same rows in the same partitions when read again (files do). A null or empty text, or
-    one of white space, has an empty set and links with nothing. Repeated rows link. Null keys are not the least of
+    Numbers, keys and texts are stored together and read from there, so ``df`` is read once, and its split into
+    partitions doesn't matter. If ``df`` is stored with unique row numbers already, ``row`` names their column, and
+    ``row`` of the result has these numbers. A null or empty text, or one of white space, has an empty set and links with nothing. Repeated rows link. Null keys are not the least of
     any component, unless all of it are null. Other columns are ignored; an empty table gives an empty result.
     Whole texts are read. A third of all rows may be copies, or share passages: copies are one class, and lists are
     aggregated per task or joined in a way that can be split.
     """
-    docs = df.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+    docs = numbered(df, row, key=F.col(key), text=F.col(text))
     tokens, n = F.col("tokens"), F.size("tokens").cast("long")
     under = int(-(2**63) + probe * 2**64)
     base = _sets(docs, shingle).select(

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import durable, fresh
 
 #: Bytes of records that one task of the exchange gets.
 TASK_BYTES = 128 << 20
@@ -49,8 +49,8 @@ def shard_records(
     ``n_shards`` - 1, ``slot`` is the place in the shard, gapless from 0, and ``grown_shard`` is the shard
     with one shard more. Input columns that have one of these names are replaced.
 
-    ``df`` must return the same rows in the same partitions when read again (files do; for anything else, use
-    ``common.durable`` first): the rows are read once for their number, once per bucket count, once to move.
+    The rows are read once for their number, and once to be stored with their buckets; buckets are counted and rows
+    moved from there, so the split of ``df`` into partitions doesn't matter.
 
     Null keys count as one key. Repeated rows keep a slot each. An empty table gives an empty result. Very long
     texts are moved whole and never held in arrays.
@@ -74,6 +74,7 @@ def shard_records(
         .withColumns({"size": size, "shard": shard, "grown_shard": grown})
         .withColumn(sub, F.pmod(F.col(spread), F.lit(buckets)).cast("int"))
     )
+    scattered = durable(scattered)  # the spread of a row depends on its place, which another read may change
 
     # One row a bucket: where its slots begin, and the permutation of its positions. The number of partitions and
     # the order in them are fixed, so a task that runs again draws the same permutations.

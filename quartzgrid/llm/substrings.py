@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, ship, small
+from .common import durable, numbered, ship, small
 from .lpf import BASE, Rolling, anchors, factors
 
 WINDOW, GRAM = 400, 64
@@ -257,13 +257,14 @@ def remove_repeats(
     Removed is every byte covered by a string of ``window`` bytes that also starts anywhere else. With
     ``keep_first``, the occurrence that comes first by row (and place in it) stays, and later ones go.
 
-    ``df`` must return the same rows in the same partitions when read again (files do). Null and empty texts have no
+    Numbers, keys and texts are stored together and read from there, so ``df`` is read once, and its split into
+    partitions doesn't matter. Null and empty texts have no
     bytes. Repeated rows are copies of each other. Very long texts are processed whole. Other columns are ignored;
     an empty table gives an empty result. A third of all rows may be one text, or one passage: equal regions are
     counted, not gathered, and large groups of different regions are counted by window.
     """
     ship(df.sparkSession)
-    docs = df.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+    docs = numbered(df, None, key=F.col(key), text=F.col(text))
     base = durable(docs.mapInArrow(_find_anchors(window, gram), f"row long, key {docs.schema['key'].dataType.simpleString()}, {ANCHOR_TYPE}"))
     each = base.select("row", F.explode("found").alias("f")).select("row", "f.*")
     # equal regions: how many, and which is first
