@@ -3,7 +3,7 @@
 The posterior of a language is the product of
 
 * the likelihood of the text: hashed byte trigrams under a multinomial model of each language, trained here on a
-  bounded sample of labelled rows, counted as at most :data:`EVIDENCE` independent trigrams;
+  bounded sample of each language's labelled rows, counted as at most :data:`EVIDENCE` independent trigrams;
 * the likelihood of the declared language (markup or metadata), which tells the truth with probability ``trust``;
 * the prior of the row's host, smoothed towards that of its address suffix, which is smoothed towards that of the
   whole table. These priors come from one grouped aggregation over all rows of what the text alone says.
@@ -86,25 +86,45 @@ class Model:
         return out
 
 
-def train(df: DataFrame, *, text: str = "text", declared: str = "lang", rows: int = 8_000, least_rows: int = 5, seed: int = 5) -> Model:
-    """Fit the text model on about ``rows`` labelled rows (the documented bound), chosen by a seeded hash of the text.
-
-    Languages with fewer than ``least_rows`` sampled rows are left out. Without labelled rows the model knows
-    ``und`` alone, and every row will be rejected.
+def train(
+    df: DataFrame,
+    *,
+    text: str = "text",
+    declared: str = "lang",
+    key: str = "doc_id",
+    rows: int = 8_000,
+    least_rows: int = 5,
+    each: int = 500,
+    seed: int = 5,
+) -> Model:
+    """Fit the text model on about ``rows`` labelled rows, the same number of each language.
+
+    Every language with ``least_rows`` labelled rows in the whole table is in the model: it gives about
+    ``rows`` / languages rows, or ``each`` where that is more, or all that it has. Which ones is drawn by a seeded
+    hash of text and key (of the text alone without such a column), and the row of the least hash is always drawn.
+    Rows of equal text and key are drawn as one. Without labelled rows the model knows ``und`` alone, and every row
+    will be rejected.
     """
     ship(df.sparkSession)
-    labelled = df.where(F.col(declared).isNotNull() & F.col(text).isNotNull()).select(F.lower(F.col(declared)).alias("lang"), F.col(text).alias("text"))
-    total = labelled.select("lang").count()
-    share = min(1.0, rows / max(1, total))
-    sample = labelled.where(F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    of = [F.col(text)] + [F.col(key)] * (key in df.columns)
+    labelled = df.where(F.col(declared).isNotNull() & F.col(text).isNotNull()).select(
+        F.lower(F.col(declared)).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit(seed), *of).alias("h")
+    )
+    # one row a language
+    known = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least")).where(F.col("n") >= least_rows).collect()
+    total = sum(r["n"] for r in known)
+    most = rows if total <= rows else max(each, rows // len(known))
+    # hashes are drawn up to a bound; the least one is within it, so no language is without a row
+    bounds = [(r["lang"], max(r["least"], min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, most / r["n"]))))) for r in known]
+    bound = df.sparkSession.createDataFrame(bounds, "lang string, bound long")
+    sample = labelled.join(F.broadcast(bound), "lang").where("h <= bound").select("lang", "text", "h").distinct()
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, own in zip(batch["lang"], batch["text"], strict=True):
-                c = counts.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
+                c = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 c[:BUCKETS] += np.bincount(trigrams(fold(own)), minlength=BUCKETS)
-                c[BUCKETS] += 1
         for lang, c in counts.items():
             at = np.flatnonzero(c)
             yield pd.DataFrame({"lang": lang, "bucket": at.astype("int32"), "n": c[at]})
@@ -113,11 +133,9 @@ def train(df: DataFrame, *, text: str = "text", declared: str = "lang", rows: in
     sums = sample.mapInPandas(tally, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     names, tables = [], []
     for lang, own in sorted(sums.groupby("lang"), key=lambda x: x[0]):
-        c = np.zeros(BUCKETS + 1)
+        c = np.zeros(BUCKETS)
         c[own["bucket"].to_numpy()] = own["n"].to_numpy()
-        if c[BUCKETS] < least_rows:
-            continue
-        p = (c[:BUCKETS] + 0.1) / (c[:BUCKETS].sum() + 0.1 * BUCKETS)
+        p = (c + 0.1) / (c.sum() + 0.1 * BUCKETS)
         names.append(lang)
         tables.append(np.log(p))
     tables.append(np.full(BUCKETS, -np.log(BUCKETS)))
