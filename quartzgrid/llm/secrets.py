@@ -9,8 +9,8 @@ its characters, and three tests take "symbols drawn evenly and independently fro
 
 Fisher's method combines the three. A token is dismissed as ordinary text where randomness is rejected, with the
 false-discovery rate (real secrets among the dismissed) held at ``rate`` by Benjamini and Hochberg within each
-length class, as the power of the tests depends on the length. What is not dismissed is a span of kind ``random``.
-Ranks come from a histogram of p values by class, which is bounded, so no global sort is made.
+encoding and length class, as the power of the tests depends on both. No token is left out beforehand. What is not dismissed is a span of kind ``random``.
+Ranks come from a histogram of p values by encoding and class, which is bounded, so no global sort is made.
 
 Positions: splitting a text at a pattern gives the gaps between its matches; running sums over gaps and matches are
 the code point offsets. They are computed over rows, so the number of matches in one text is not bounded.
@@ -52,9 +52,6 @@ ENCODINGS = (
     ("base64url", r"^[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_"),
     ("mixed", r"", UPPER + LOWER + DIGITS + "+/-_"),
 )
-#: Encodings of letters or digits alone need more length: below it the tests cannot tell long words and numbers from
-#: random ones, so such tokens are not reported.
-LEAST_LENGTH = {"word": 52, "upper": 52, "digits": 40}
 #: Lower ends of the length classes.
 CLASSES = (20, 24, 32, 48, 96)
 #: Bins of the histogram: so many to a factor of ten of the p value, down to the last bin.
@@ -127,15 +124,16 @@ def battery(df: DataFrame, token: str) -> DataFrame:
 
 
 def dismissed(tokens: DataFrame, rate: float = 0.05) -> DataFrame:
-    """``class, last_bin``: tokens of a class are dismissed from that bin on. One row a length class at most.
+    """``encoding, class, last_bin``: tokens of an encoding and length class are dismissed from that bin on. One row
+    an encoding and class at most.
 
     Benjamini-Hochberg over a histogram: the p value of a bin is taken as its upper end, which errs on keeping.
     """
-    bins = tokens.groupBy("class", "bin").agg(F.count(F.lit(1)).alias("n"))
-    strongest = Window.partitionBy("class").orderBy(F.desc("bin"))
-    ranked = bins.withColumn("rank", F.sum("n").over(strongest)).withColumn("all", F.sum("n").over(Window.partitionBy("class")))
+    bins = tokens.groupBy("encoding", "class", "bin").agg(F.count(F.lit(1)).alias("n"))
+    strongest = Window.partitionBy("encoding", "class").orderBy(F.desc("bin"))
+    ranked = bins.withColumn("rank", F.sum("n").over(strongest)).withColumn("all", F.sum("n").over(Window.partitionBy("encoding", "class")))
     passed = ranked.where(F.pow(F.lit(10.0), -F.col("bin") / BINS) <= rate * F.col("rank") / F.col("all"))
-    return passed.groupBy("class").agg(F.min("bin").alias("last_bin"))
+    return passed.groupBy("encoding", "class").agg(F.min("bin").alias("last_bin"))
 
 
 def _found(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
@@ -179,15 +177,11 @@ def scan_secrets(df: DataFrame, *, key: str = "doc_id", text: str = "text", rate
 
     random = KINDS.index("random")
     tested = battery(rows.where(F.col("kind") == random), "token")
-    least = F.lit(0)
-    for encoding, length in LEAST_LENGTH.items():
-        least = F.when(F.col("encoding") == encoding, length).otherwise(least)
-    tested = tested.where(F.col("length") >= least)
     length_class = sum((F.when(F.col("length") >= c, 1).otherwise(0) for c in CLASSES), F.lit(0))
     spot = F.least(F.lit(LAST_BIN), F.floor(-F.log10(F.greatest(F.col("p_value"), F.lit(1e-100))) * BINS)).cast("int")
-    tested = durable(tested.select("_key", r, "kind", "start", "end", length_class.alias("class"), spot.alias("bin")))
-    # at most one row a length class
-    tested = tested.join(F.broadcast(dismissed(tested, rate)), "class", "left").where("last_bin is null or bin < last_bin")
+    tested = durable(tested.select("_key", r, "kind", "start", "end", "encoding", length_class.alias("class"), spot.alias("bin")))
+    # at most one row an encoding and length class
+    tested = tested.join(F.broadcast(dismissed(tested, rate)), ["encoding", "class"], "left").where("last_bin is null or bin < last_bin")
     names = ["_key", r, "kind", "start", "end"]
     spans = rows.where(F.col("kind") != random).select(names).unionByName(tested.select(names))
     found = F.sort_array(F.collect_list(F.when(F.col("kind") >= 0, F.struct("start", "kind", "end"))))
