@@ -7,21 +7,25 @@ similarity of their sets reaches ``percent``; components follow links. The steps
    no other text has, links with none. The tokens under a fixed hash value, about ``probe`` of all, are counted
    over all texts; most texts end here.
 2. *Classes.* Texts of equal sets are one class from here on.
-3. *Prefixes.* The tokens of the classes left are counted, and each class takes its prefix in the order of rarity:
-   linked classes share a token in their prefixes, and two in the prefixes that are extended by one.
-4. *Early links.* In every list (the classes that have one token in their prefix) the most central class is verified
-   against all others, in rounds with other pivots. A group of near copies becomes one component after a number of
-   checks in proportion to its size, not to its pairs.
-5. *Index.* Lists that still hold several components: tokens of short lists (rare ones) are indexed singly, those
-   of long lists (frequent ones) in combinations of two within the extended prefix. All pairs across components
-   that meet in the index are verified, if their sizes, their numbers of shared tokens and the ranks at which they
-   meet allow the similarity.
+3. *Prefixes.* The tokens of the classes left are counted, and each class takes its prefix in the order of rarity,
+   extended by one token: linked classes share a token in their prefixes, and two in the extended ones.
+4. *Cells.* A class stands in the lists of its prefix tokens by its band of sizes: as the smaller one of a pair in
+   its own band, as the larger one in every band of sizes that it could still link with at that rank. So a pair
+   meets in the cell (token, band of the smaller one), and a list of equal sizes that are too unlike is empty.
+   A cell is rare as long as the pairs across its components are no more than ``rare_pairs`` for each entry.
+5. *Rare tokens* are indexed singly: all pairs of their cells are verified.
+6. *Frequent tokens.* First, early links: in every frequent cell one central class is verified against all others,
+   in rounds, so that a group of near copies becomes one component after a number of checks in proportion to its
+   size, not to its pairs. Cells that are rare from then on are indexed singly; the classes of the others are indexed
+   by combinations of two of their frequent tokens, which both members of a linked pair have in the same band.
 
 No pair is left out: a pair that isn't verified is in one component already, or lacks the tokens to be linked.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,9 +35,12 @@ from .components import components
 SHINGLE, PERCENT = 5, 80
 #: Share of all tokens that step 1 counts.
 PROBE = 0.3
-#: A list is rare as long as the pairs across its components are no more than so many for each member.
-RARE_PAIRS = 48
-PIVOT_ROUNDS = 2
+#: A cell is rare as long as the pairs across its components are no more than so many for each entry.
+RARE_PAIRS = 8
+#: Rounds of early links at most; they end as soon as a round leaves more than half of the open entries.
+PIVOT_ROUNDS = 6
+#: Bands of sizes in a factor of 100 / percent.
+BANDS = 2
 #: Rows of one long that are broadcast to pick texts, by count; above, the texts are joined by shuffle.
 SMALL_ROWS = 2_000_000
 
@@ -65,12 +72,44 @@ def _overlap(a: Column, b: Column, percent: int) -> Column:
     return F.floor((percent * (a + b) + 99 + percent) / (100 + percent))
 
 
-def _fits(x: dict[str, Column], y: dict[str, Column], percent: int, more: int = 0) -> Column:
-    """Sizes ``n``, and numbers ``m`` of tokens that other classes have too, allow the similarity. With ranks ``r`` in
-    the order of rarity: the pair may have its first common token here (with ``more``: that one or one further)."""
+def _band(n: Column, percent: int) -> Column:
+    return F.floor(F.log(n.cast("double")) * (BANDS / math.log(100 / percent))).cast("int")
+
+
+def _cells(lists: DataFrame, percent: int) -> DataFrame:
+    """The entries of ``cls, n, m, r, token`` by cell: ``token, band, small`` and the rest.
+
+    At rank ``r`` (from 0) of its ``m`` tokens that others have too, a class can share ``m - r`` tokens, plus the one
+    by which prefixes are extended. That bounds the partner's size: no entry is made for sizes beyond.
+    """
+    n = F.col("n")
+    left = F.col("m") - F.col("r") + 1
+    least = F.floor((n * percent + 99) / 100)
+    most = F.least(n, F.floor(left * (100 + percent) / percent) - n)  # the largest partner that is no larger itself
+    bands = F.when(most >= least, F.sequence(_band(least, percent), _band(most, percent))).otherwise(F.array().cast("array<int>"))
+    own = F.when(left >= _overlap(n, n, percent), F.array(F.struct(_band(n, percent).alias("band"), F.lit(True).alias("small")))).otherwise(F.array().cast("array<struct<band:int,small:boolean>>"))
+    roles = F.concat(own, F.transform(bands, lambda b: F.struct(b.alias("band"), F.lit(False).alias("small"))))
+    return lists.select("*", F.explode(roles).alias("x")).select(*[F.col(c) for c in lists.columns], "x.band", "x.small")
+
+
+def _met(entries: DataFrame, cell: list[str], percent: int) -> DataFrame:
+    """The pairs ``a, b`` (a < b) that meet in a cell, in different components, and fit by size and ranks."""
+    x, y = ({c: F.col(c + tail) for c in ("cls", "n", "m", "r", "label")} for tail in ("", "_"))
+    small = entries.where("small").select(*cell, *x)
+    large = entries.where("not small").select(*cell, *[F.col(c).alias(f"{c}_") for c in x])
     need = _overlap(x["n"], y["n"], percent)
-    place = lambda z: z.get("r", F.lit(0)) + need <= z["m"] + more
-    return (x["n"] * 100 >= y["n"] * percent) & (y["n"] * 100 >= x["n"] * percent) & place(x) & place(y)
+    fits = (x["n"] * 100 >= y["n"] * percent) & (x["r"] + need <= x["m"] + 1) & (y["r"] + need <= y["m"] + 1)
+    ordered = (x["n"] < y["n"]) | ((x["n"] == y["n"]) & (x["cls"] < y["cls"]))
+    both = small.join(large, cell).where(ordered & fits & (x["label"] != y["label"]))
+    return both.select(F.least("cls", "cls_").alias("a"), F.greatest("cls", "cls_").alias("b")).distinct()
+
+
+def _rated(entries: DataFrame, cell: list[str]) -> DataFrame:
+    """``cell, size, pairs`` of the cells in which entries of different components meet."""
+    s, p = F.count_if(F.col("small")), F.count_if(~F.col("small"))
+    by_label = entries.groupBy(*cell, "label").agg(s.alias("s"), p.alias("p"))
+    sums = by_label.groupBy(*cell).agg(F.sum("s").alias("s"), F.sum("p").alias("p"), F.sum(F.col("s") * F.col("p")).alias("same"))
+    return sums.select(*cell, (F.col("s") + F.col("p")).alias("size"), (F.col("s") * F.col("p") - F.col("same")).alias("pairs")).where("pairs > 0")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -83,6 +122,17 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(shared * 100 >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b")
 
 
+def _combinations(entries: DataFrame) -> DataFrame:
+    """The entries of each class by all combinations of two tokens of one band and side: ``token, second, band``.
+
+    The rank is that of the later token: both are within the extended prefix.
+    """
+    other = entries.select(*[F.col(c).alias(f"{c}2") for c in ("cls", "band", "small")], F.col("token").alias("second"), F.col("r").alias("r2"))
+    same = (F.col("cls") == F.col("cls2")) & (F.col("band") == F.col("band2")) & (F.col("small") == F.col("small2"))
+    both = entries.join(other, same & (F.col("token") < F.col("second")))
+    return both.select("token", "second", "band", "small", "cls", "n", "m", F.greatest("r", "r2").alias("r"), "label")
+
+
 class _Links:
     """The links found so far, and the component of each class by them: worked out anew only when there are new ones."""
 
@@ -103,12 +153,6 @@ class _Links:
         return lists.join(small(self.labels, SMALL_ROWS), F.col("cls") == F.col("node"), "left").withColumn("label", F.coalesce("label", "cls")).drop("node")
 
 
-def _open(lists: DataFrame) -> DataFrame:
-    """The lists that hold classes of several components."""
-    several = lists.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-    return lists.join(several, "token", "left_semi")
-
-
 def jaccard_join(
     df: DataFrame,
     *,
@@ -132,6 +176,8 @@ def jaccard_join(
     Whole texts are read. A third of all rows may be copies, or share passages: copies are one class, and lists are
     aggregated per task or joined in a way that can be split.
     """
+    if percent < 2 * (100 - percent):
+        raise ValueError("percent must be 67 or more: below, different sets can link by one token")
     docs = numbered(df, row, key=F.col(key), text=F.col(text))
     tokens, n = F.col("tokens"), F.size("tokens").cast("long")
     under = int(-(2**63) + probe * 2**64)
@@ -161,45 +207,53 @@ def jaccard_join(
     sets = gathered.where(free > 0).select("cls", "n", F.sort_array("x")["token"].alias("tokens"), free.cast("int").alias("places"), (F.col("m") / F.col("n")).alias("central"))
     sets = durable(sets)
     prefix = lambda more: sets.select("cls", "n", F.size("tokens").alias("m"), "central", F.posexplode(F.slice("tokens", F.lit(1), F.col("places") + more)).alias("r", "token"))
-    lists = durable(prefix(0))
-
-    # 4. early links
+    # 4. cells; every class is a component of its own so far
+    lists = sets.select("cls", "n", F.size("tokens").alias("m"), "central", F.posexplode(F.slice("tokens", F.lit(1), F.col("places") + 1)).alias("r", "token"))
+    cell = ["token", "band"]
+    entries = durable(_cells(lists, percent).withColumn("label", F.col("cls")))
+    rated = durable(_rated(entries, cell))
+    is_rare = F.col("pairs") <= rare_pairs * F.col("size")
     links, tested = _Links(), None
-    for turn in range(pivot_rounds):
-        now = durable(_open(links.label(lists)))
-        # the first pivot is the class with the most shared tokens; later ones come from a random component
-        by = F.struct(F.lit(0).alias("h"), F.col("central"), (-F.col("cls")).alias("c")) if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "label").alias("h"), F.col("central"), (-F.col("cls")).alias("c"))
-        pivots = now.groupBy("token").agg(F.max_by(F.struct("cls", "n", "m", "label"), by).alias("p"))
-        fits = _fits({"n": F.col("n"), "m": F.col("m")}, {"n": F.col("p.n"), "m": F.col("p.m")}, percent)
-        pairs = now.join(pivots, "token").where((F.col("label") != F.col("p.label")) & fits)
-        pairs = pairs.select(F.greatest("cls", "p.cls").alias("b"), F.least("cls", "p.cls").alias("a")).distinct()
+
+    def check(pairs: DataFrame) -> bool:
+        """Verify the pairs that are new; whether there were any."""
+        nonlocal tested
         pairs = durable(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         if pairs.limit(1).count() == 0:
-            break
+            return False
         tested = pairs if tested is None else tested.unionByName(pairs)
         links.add(_verify(pairs, sets, percent))
+        return True
 
-    # 5. the index of rare tokens and of combinations of frequent ones
-    now = durable(_open(links.label(prefix(1))))
-    if now.limit(1).count():
-        members = now.groupBy("token", "label").agg(F.count(F.lit(1)).alias("m"))
-        size = members.groupBy("token").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("s2"))
-        rated = durable(now.join(size.select("token", ((F.col("s") * F.col("s") - F.col("s2")) / 2 <= rare_pairs * F.col("s")).alias("rare")), "token"))
-        singles = rated.where("rare").select(F.col("token").alias("t1"), F.lit(0).cast("long").alias("t2"), F.lit(False).alias("two"), "cls", "n", "m", "r", "label")
-        often = rated.where("not rare")
-        other = often.select(F.col("cls").alias("c2"), F.col("token").alias("t2"), F.col("r").alias("r2"))
-        twos = often.join(other, (F.col("cls") == F.col("c2")) & (F.col("token") < F.col("t2")))
-        twos = twos.select(F.col("token").alias("t1"), "t2", F.lit(True).alias("two"), "cls", "n", "m", F.greatest("r", "r2").alias("r"), "label")
-        index = durable(singles.unionByName(twos))
-        several = index.groupBy("t1", "t2", "two").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").drop("lo", "hi")
-        index = index.join(several, ["t1", "t2", "two"], "left_semi")
-        right = index.select("t1", "t2", "two", *[F.col(c).alias(f"{c}_") for c in ("cls", "n", "m", "r", "label")])
-        fits = _fits({c: F.col(c) for c in "nmr"}, {c: F.col(f"{c}_") for c in "nmr"}, percent, 1)
-        pairs = index.join(right, ["t1", "t2", "two"]).where((F.col("cls") < F.col("cls_")) & (F.col("label") != F.col("label_")) & fits)
-        pairs = pairs.select(F.col("cls").alias("a"), F.col("cls_").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        links.add(_verify(durable(pairs), sets, percent))
+    # 5. rare tokens singly
+    check(_met(entries.join(rated.where(is_rare).select(*cell), cell, "left_semi"), cell, percent))
+
+    # 6. frequent tokens: early links, then single cells that have become rare, and combinations of two
+    often = entries.join(rated.where(~is_rare).select(*cell), cell, "left_semi").drop("label")
+    often = durable(links.label(often))
+    left = often.count()
+    for turn in range(pivot_rounds):
+        if left == 0:
+            break
+        # the first pivot is the class with the most shared tokens; later ones come from a random component
+        by = [F.lit(0) if turn == 0 else F.xxhash64(F.lit(turn), "label"), F.col("central"), -F.col("cls")]
+        pivots = often.where("small").groupBy(*cell).agg(F.max_by(F.struct("cls", "n", "m", "label"), F.struct(*by)).alias("p"))
+        need = _overlap(F.col("n"), F.col("p.n"), percent)
+        alike = (F.col("n") * 100 >= F.col("p.n") * percent) & (F.col("p.n") * 100 >= F.col("n") * percent) & (need <= F.col("m")) & (need <= F.col("p.m"))
+        pairs = often.join(pivots, cell).where((F.col("label") != F.col("p.label")) & alike)
+        if not check(pairs.select(F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b")).distinct()):
+            break
+        now = links.label(often.drop("label"))
+        now = durable(now.join(_rated(now, cell).select(*cell), cell, "left_semi"))
+        before, left, often = left, now.count(), now
+        if left > before / 2:
+            break
+    if left:
+        rated = _rated(often, cell)
+        often = often.join(rated, cell)
+        check(_met(often.where(is_rare), cell, percent))
+        two = durable(_combinations(links.label(often.where(~is_rare).drop("label"))))
+        check(_met(two, ["token", "second", "band"], percent))
 
     # component of each class, least key of each component
     named = links.label(classes).withColumn("cls", F.col("label")).drop("label")

@@ -16,14 +16,15 @@ def docs_of(spark, sf_dir):
     return [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
 
 
-@pytest.mark.parametrize("options", [{}, {"pivot_rounds": 0}, {"pivot_rounds": 0, "rare_pairs": 0}, {"pivot_rounds": 1, "rare_pairs": 0, "probe": 0.05}])
+@pytest.mark.parametrize("options", [{}, {"pivot_rounds": 0, "rare_pairs": 0}, {"pivot_rounds": 1, "rare_pairs": 0, "probe": 0.05, "percent": 67}])
 def test_jaccard(table, prose, options):
     got = ngram_join.jaccard_join(table(prose), **options).collect()
-    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute.jaccard(prose)
+    want = brute.jaccard(prose, options.get("percent", 80))
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
     parts = {}
     for r in got:
         assert parts.setdefault(r["component"], r["component_id"]) == r["component_id"] or r["n_shingles"] == 0
-    assert len(parts) == len({k for _, _, k in brute.jaccard(prose)})
+    assert len(parts) == len({k for _, _, k in want})
 
 
 def test_jaccard_of_a_large_group(table):
@@ -42,7 +43,65 @@ def test_jaccard_of_a_large_group(table):
         assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute.jaccard(docs)
 
 
+def test_combinations_find_links_that_single_tokens_and_pivots_leave(table, monkeypatch):
+    """Chains of texts: each links with the next one alone, and its tokens live in many texts of the chain."""
+    rng = random.Random(5)
+    docs = []
+    for chain in range(4):
+        w = [f"c{chain}w{i}" for i in range(120)]
+        for i in range(40):
+            for _ in range(2):
+                w[rng.randrange(120)] = f"n{rng.randrange(10**6)}"
+            docs.append((100 * chain + i, " ".join(w)))
+    df, seen = table(docs), []
+
+    def spied(entries):
+        out = made(entries)
+        seen.append(out.count())
+        return out if whole else out.limit(0)
+
+    made = ngram_join._combinations
+    monkeypatch.setattr(ngram_join, "_combinations", spied)
+    found = lambda: sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_join(df, rare_pairs=0, pivot_rounds=1).collect())
+    whole = True
+    assert found() == brute.jaccard(docs) and seen[0] > 0
+    whole = False
+    assert found() != brute.jaccard(docs)
+
+
+def test_cells_grow_with_the_input(table):
+    """Five times the groups of near copies: the index has about five times the entries."""
+
+    def entries(groups):
+        rng = random.Random(2)
+        docs = []
+        for g in range(groups):
+            base = [f"g{g}w{i}" for i in range(100)]
+            for i in range(12):
+                w = list(base)
+                for _ in range(i % 4):
+                    w[rng.randrange(100)] = f"x{rng.randrange(10**7)}"
+                docs.append((100 * g + i, " ".join(w)))
+        made = []
+        cells = ngram_join._cells
+
+        def spied(lists, percent):
+            out = cells(lists, percent)
+            made.append(out.count())
+            return out
+
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(ngram_join, "_cells", spied)
+            ngram_join.jaccard_join(table(docs))
+        return made[0]
+
+    few, many = entries(4), entries(20)
+    assert 3 * few < many < 7 * few
+
+
 def test_jaccard_edges(table):
+    with pytest.raises(ValueError):
+        ngram_join.jaccard_join(table([]), percent=66)
     rows = [(3, "a b c d e f"), (3, "a b c d e f"), (1, "A B C D E F"), (None, "a b c d e f"), (9, None), (8, ""), (7, " \n"), (6, "one two"), (5, "ONE two"), (4, "one")]
     got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_join(table(rows)).collect())
     assert got == [(0, 2, 1), (1, 2, 1), (3, 2, 1), (3, 2, 1), (4, 1, 4), (5, 1, 5), (6, 1, 5), (7, 0, 7), (8, 0, 8), (9, 0, 9)]
