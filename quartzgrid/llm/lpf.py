@@ -49,6 +49,53 @@ class Rolling:
             return _mixed((self.sums[length:] - self.sums[:n]) * self.down[:n])
 
 
+def _sliding_minimum(value: np.ndarray, span: int) -> np.ndarray:
+    """Minimum of each ``span`` neighbours: suffix minima of one block and prefix minima of the next."""
+    n = len(value) - span + 1
+    padded = np.full(-(-len(value) // span) * span, MASK, np.uint64)
+    padded[: len(value)] = value
+    blocks = padded.reshape(-1, span)
+    left = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    right = np.minimum.accumulate(blocks, axis=1).ravel()
+    return np.minimum(left[:n], right[span - 1 : span - 1 + n])
+
+
+#: The white space of the word rules.
+SPACE = np.zeros(256, bool)
+SPACE[[32, 9, 10, 11, 12, 13]] = True
+
+
+def word_edges(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, byte after) of the words of a text."""
+    edges = np.flatnonzero(np.diff(~SPACE[np.frombuffer(raw, np.uint8)], prepend=False, append=False))
+    return edges[::2], edges[1::2]
+
+
+def word_windows(raw: bytes, edges: tuple[np.ndarray, np.ndarray], words: int, gram: int, piece: int) -> tuple[np.ndarray, np.ndarray]:
+    """(mark, hash) of every run of ``words`` words of a text. The mark is the least hash of the run's grams of
+    ``gram`` words, so equal runs have equal marks and one mark serves many neighbouring runs."""
+    starts, ends = edges
+    if len(starts) < words:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    one = []  # hashes of words, in pieces of bounded memory (a word may be longer than a piece)
+    at = 0
+    while at < len(starts):
+        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + piece)))
+        lo, hi = int(starts[at]), int(ends[stop - 1])
+        one.append(Rolling(np.frombuffer(raw, np.uint8, hi - lo, lo)).hashes(starts[at:stop] - lo, ends[at:stop] - lo))
+        at = stop
+    h = np.concatenate(one)
+    with np.errstate(over="ignore"):
+        grams = np.zeros(len(h) - gram + 1, np.uint64)
+        for j in range(gram):
+            grams = grams * np.uint64(BASE) + h[j : j + len(grams)]
+        up, down = _powers(max(1 << 16, 1 << len(h).bit_length()))
+        sums = np.r_[np.uint64(0), np.cumsum(h * up[: len(h)], dtype=np.uint64)]
+        n = len(h) - words + 1
+        whole = _mixed((sums[words:] - sums[:n]) * down[:n])
+    return _sliding_minimum(_mixed(grams), words - gram + 1), whole
+
+
 def anchors(data: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(place, gram hash, first, last) of the anchors of a string.
 
@@ -66,13 +113,7 @@ def anchors(data: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.nd
     # the same bits of the hash count in every piece, whatever its length, or equal windows could differ in anchors
     place_bits = PLACE_BITS
     value = (h >> np.uint64(place_bits) << np.uint64(place_bits)) | np.arange(len(h), dtype=np.uint64)
-    # minimum over a sliding span: suffix minima of one block and prefix minima of the next
-    padded = np.full(-(-len(value) // span) * span, MASK, np.uint64)
-    padded[: len(value)] = value
-    blocks = padded.reshape(-1, span)
-    left = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    right = np.minimum.accumulate(blocks, axis=1).ravel()
-    least = np.minimum(left[:n], right[span - 1 : span - 1 + n])
+    least = _sliding_minimum(value, span)
     at = (least & np.uint64((1 << place_bits) - 1)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     last = np.r_[first[1:], n] - 1

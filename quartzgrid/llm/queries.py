@@ -95,9 +95,14 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Passages of over 50 words, whatever their number of bytes.
+PASSAGE_WORDS = 51
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = substrings.remove_repeats(_table(spark, sf_dir, "documents"), keep_text=False)
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+    """``shares_passage``: another document has a run of 51 words of this one; it changes nothing that is removed."""
+    out = substrings.remove_repeats(_table(spark, sf_dir, "documents"), keep_text=False, passage_words=PASSAGE_WORDS)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256", "shares_passage")
 
 
 def queries() -> dict[str, Query]:

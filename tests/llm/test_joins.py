@@ -200,7 +200,7 @@ def test_repeats_in_pieces(table, prose, monkeypatch):
     monkeypatch.setattr(substrings, "PIECE", 64)
     raw = ("abcdefghij" * 40 + "xyz").encode()
     columns, later = substrings._text_anchors(raw, 60, 16)
-    starts = [s for a, b in [*zip(columns[2], columns[3], strict=True), *later.tolist()] for s in range(a, b + 1)]
+    starts = [s for a, b in [*zip(columns[3], columns[4], strict=True), *later.tolist()] for s in range(a, b + 1)]
     assert sorted(starts) == list(range(len(raw) - 59))
 
 
@@ -211,6 +211,45 @@ def test_repeats_edges(table):
     assert substrings.remove_repeats(table([])).collect() == []
 
 
+def colliding_texts():
+    """Two texts of 600 bytes whose windows all differ, but whose rolling sums modulo 2^64 are the same."""
+    p = np.array([1], dtype=object)
+    for e in (1, 2, 4, 8, 16, 32, 64, 3, 6, 12, 24, 5, 10, 7, 384):
+        p = np.convolve(p, np.array([-1, *[0] * (e - 1), 1], dtype=object))
+    one = np.random.default_rng(20).integers(105, 114, 600)
+    other = one.copy()
+    other[10 : 10 + len(p)] += p.astype(int)
+    return [bytes(x.astype(np.uint8)).decode() for x in (one, other)]
+
+
+@pytest.mark.parametrize("options", [{}, {"most_regions": 1}])
+def test_repeats_of_colliding_texts(table, options):
+    texts = colliding_texts()
+    data = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    whole = [int(lpf.Rolling(d).hashes(np.array([0]), np.array([600]))[0]) for d in data]
+    marks = [lpf.anchors(d, 400, 64) for d in data]
+    assert whole[0] == whole[1] and len(marks[0][0]) == len(marks[1][0]) == 1 and marks[0][1] == marks[1][1]
+    rows = [(1, texts[0]), (2, texts[1]), (3, "q" * 200 + texts[1][:450])]
+    got = substrings.remove_repeats(table(rows), **options).select("doc_id", "n_bytes", "n_removed", F.size("removed"), "kept_sha256").collect()
+    want = brute.repeats(rows, 400)
+    assert sorted(map(tuple, got)) == want and [w[2] for w in want] == [0, 450, 450]
+
+
+def test_passages(table, prose):
+    rows = [*prose, (3000, "p " * 90), (3001, None), (3002, prose[0][1])]
+    got = substrings.remove_repeats(table(rows), passage_words=20).collect()
+    runs = lambda t: [tuple(w[i : i + 20]) for w in [brute.WORDS.findall(t or "")] for i in range(len(w) - 19)]
+    own = [(d, t, set(runs(t))) for d, t in rows]
+    count = {}
+    for _, _, s in own:
+        for r in s:
+            count[r] = count.get(r, 0) + 1
+    want = sorted((d, any(count[r] > 1 for r in runs(t))) for d, t, _ in own)
+    assert sorted((r["doc_id"], r["shares_passage"]) for r in got) == want and {x for _, x in want} == {False, True}
+    assert sorted((r["doc_id"], r["n_removed"]) for r in got) == sorted((r["doc_id"], r["n_removed"]) for r in substrings.remove_repeats(table(rows)).collect())
+    assert substrings.remove_repeats(table([]), passage_words=20).collect() == []
+
+
 def test_query_of_repeats(spark, sf_dir):
     got = queries.op10_repeats(spark, sf_dir).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert sorted(map(tuple, got)) == sorted(brute.repeats(docs_of(spark, sf_dir), 400))
