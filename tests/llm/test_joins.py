@@ -1,6 +1,7 @@
 """Jaccard join, decontamination, repeats: against brute force."""
 
 import random
+import re
 
 import brute
 import numpy as np
@@ -144,9 +145,35 @@ def test_decontaminate(table, spark):
 
 
 def test_decontaminate_by_shuffle(table, spark, monkeypatch):
+    """Beyond the bound nothing of the benchmark is broadcast, and no words go along with the positions."""
     monkeypatch.setattr(decontamination, "SMALL_WINDOWS", 0)
-    rows = [(i, ITEMS[0][1] if i % 3 else "other words") for i in range(20)]
-    got = decontamination.decontaminate(table(rows), spark.createDataFrame(ITEMS, "item_id long, text string")).collect()
+    plans, write = {}, decontamination.durable
+
+    def spied(df):
+        plans[tuple(df.columns)] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df)
+
+    monkeypatch.setattr(decontamination, "durable", spied)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        long = " ".join(f"v{i}" for i in range(3000))
+        rows = [(i, ITEMS[0][1] if i % 3 else "other words") for i in range(20)] + [(30, f"{long} {ITEMS[0][1]} {long}"), (31, None), (32, "x short item")]
+        got = decontamination.decontaminate(table(rows), spark.createDataFrame(ITEMS, "item_id long, text string")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in got) == brute.decontaminate(rows, ITEMS)
+    lines = [x.strip(" :+-") for x in plans["row", "x"].splitlines()]
+    assert any(x.startswith("SortMergeJoin [shingle") for x in lines) and not any(x.startswith("Broadcast") for x in lines)
+    at = next(i for i, x in enumerate(lines) if x.startswith("Exchange hashpartitioning(shingle"))
+    sent = next(x for x in lines[at:] if x.startswith("Project"))
+    assert "shingle#" in sent and not re.search(r"[\[ ]words#\d+[,\]]", sent)
+
+
+def test_decontaminate_with_clashing_names(table, spark):
+    """Columns of either side that are called like working columns change nothing."""
+    items = spark.createDataFrame([(*x, "a", 1, 2, 3) for x in ITEMS], "item_id long, text string, window string, row int, words int, size int")
+    rows = [(1, ITEMS[0][1]), (2, "none")]
+    got = decontamination.decontaminate(table(rows).withColumn("words", F.lit(1)).withColumn("pos", F.lit(1)), items).collect()
     assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in got) == brute.decontaminate(rows, ITEMS)
 
 
