@@ -11,6 +11,8 @@ from .layout import coded
 
 #: Bins that are broadcast: 2^k rows of a few longs each.
 BROADCAST_BITS = 20
+#: Bits of a block of bins.
+BLOCK_BITS = 15
 #: Sizes up to which a bin is handled by a warp, or by one block.
 WARP, BLOCK = 32, 1024
 
@@ -28,16 +30,25 @@ def histogram(points: DataFrame, k: int, dense: bool = False) -> DataFrame:
     return every.join(counts, "bin", "left").select("bin", F.coalesce("size", F.lit(0)).alias("size"))
 
 
-def _before(value: str, k: int) -> Column:
-    """Sum over the bins before: bins stand in one window of at most 2^k rows."""
-    return F.coalesce(F.sum(value).over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+def _with_before(df: DataFrame, value: str, name: str, k: int) -> DataFrame:
+    """``df`` (a row a bin) plus the sum of ``value`` over the bins before. Up to 2^20 bins stand in one window; more
+    are summed up in blocks of 2^15 bins, and the blocks (2^15 at most, for 2^30 bins) in one window."""
+    past = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    if k <= BROADCAST_BITS:
+        return df.withColumn(name, F.coalesce(F.sum(value).over(past(Window.orderBy("bin"))), F.lit(0)))
+    df = df.withColumn("_block", F.shiftright("bin", BLOCK_BITS))
+    blocks = df.groupBy(F.col("_block").alias("_of")).agg(F.sum(value).alias("_sum"))
+    blocks = blocks.select("_of", F.coalesce(F.sum("_sum").over(past(Window.orderBy("_of"))), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum(value).over(past(Window.partitionBy("_block").orderBy("bin"))), F.lit(0))
+    joined = df.withColumn("_inside", inside).join(F.broadcast(blocks), F.col("_block") == F.col("_of"))  # 2^15 rows + 1
+    return joined.withColumn(name, F.col("_before") + F.col("_inside")).drop("_block", "_of", "_inside", "_before")
 
 
 def offsets(points: DataFrame, k: int) -> DataFrame:
     """``bin, size, offset`` of all 2^k bins, and the last row ``2^k, 0, number of points``."""
     sizes = histogram(points, k, dense=True)
     end = points.sparkSession.range(1).select(F.lit(1 << k).cast("long").alias("bin"), F.lit(0).cast("long").alias("size"))
-    return sizes.unionByName(end).withColumn("offset", _before("size", k))
+    return _with_before(sizes.unionByName(end), "size", "offset", k)
 
 
 def _by_bin(df: DataFrame, k: int) -> DataFrame:
@@ -48,7 +59,7 @@ def _by_bin(df: DataFrame, k: int) -> DataFrame:
 def scatter_slots(points: DataFrame, k: int) -> DataFrame:
     """``points`` with ``bin`` and ``slot``: the place from 0 if bins are laid out one after the other, each in
     Z-order. Bins are numbered in parallel; the slots are a permutation of 0 to n - 1."""
-    starts = histogram(points, k).withColumn("_offset", _before("size", k)).select("bin", "_offset")
+    starts = _with_before(histogram(points, k), "size", "_offset", k).select("bin", "_offset")
     rank = F.row_number().over(Window.partitionBy("bin").orderBy("morton", "id"))
     binned = with_bin(coded(points), k)
     return binned.join(_by_bin(starts, k), "bin").withColumn("slot", F.col("_offset") + rank - 1).drop("_offset")
@@ -68,7 +79,7 @@ def summary(points: DataFrame, k: int, threshold: float, precision: str = "float
 
 def output_offsets(points: DataFrame, k: int, threshold: float, precision: str = "float") -> DataFrame:
     """``summary`` plus ``out_offset``: where each bin's hot points begin in the compacted output."""
-    return summary(points, k, threshold, precision).withColumn("out_offset", _before("hot_count", k))
+    return _with_before(summary(points, k, threshold, precision), "hot_count", "out_offset", k)
 
 
 def partition_compact(points: DataFrame, k: int, threshold: float, precision: str = "float") -> DataFrame:

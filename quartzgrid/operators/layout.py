@@ -43,17 +43,42 @@ def first_points(points: DataFrame, n: int) -> DataFrame:
     return top.withColumn("rn", F.row_number().over(Window.orderBy("morton", "id")).cast("long"))
 
 
+#: Ranges of codes that positions are counted by, at most (and one for points without a code).
+RANGES = 4096
+#: Rows that a range should hold at most.
+RANGE_ROWS = 250_000
+
+
+def range_bounds(points: DataFrame) -> list[int]:
+    """Codes that cut the points into ranges of about equal numbers: quantiles, found by one pre-aggregated pass."""
+    rows = points.count()
+    n = min(RANGES, max(1, points.sparkSession.sparkContext.defaultParallelism, -(-rows // RANGE_ROWS)))
+    cuts = points.where("morton is not null").select("morton").approxQuantile("morton", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
+    return sorted({int(c) for c in cuts})
+
+
 def with_position(points: DataFrame) -> DataFrame:
     """``points`` plus ``pos``, the place in Z-order from 0, without bringing all rows into one task.
 
-    Rows are counted by range of codes (the leading 12 bits), the counts are summed up over at most 4,096 rows, and
-    rows are numbered inside their range. Points without a code come first.
+    Rows are dealt to ranges of codes whose bounds are quantiles of the codes themselves, so a grid that fills a small
+    part of the code space is spread as evenly as one that fills all. Counts are summed up over at most 4,097 ranges,
+    and rows are numbered inside their range. The bounds are found when this is called. Points without a code come first. Points of one code stay together; a
+    code that holds most of the points makes one large (spilling) sort.
     """
-    key = F.coalesce(F.shiftright("morton", 20), F.lit(-1).cast("long"))
+    cuts = range_bounds(points)
+    bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
+    key = F.when(F.col("morton").isNull(), -1).otherwise(_bucket(F.col("morton"), bounds, len(cuts)))
     counts = points.groupBy(key.alias("_range")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    # at most 2^12 + 1 ranges
+    # at most RANGES + 1 rows
     ranged = points.withColumn("_range", key).join(F.broadcast(offsets), "_range")
     inside = F.row_number().over(Window.partitionBy("_range").orderBy("morton", "id"))
     return ranged.withColumn("pos", F.col("_before") + inside - 1).drop("_range", "_before")
+
+
+def _bucket(value: Column, bounds: Column, n: int) -> Column:
+    """How many of the n sorted bounds are no greater than the value: a binary search in as many steps as n has bits."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(n.bit_length()))]).cast("array<int>")
+    passed = lambda at, step: F.coalesce(F.get(bounds, at + step - 1) <= value, F.lit(False))
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(passed(at, step), step).otherwise(0))

@@ -23,3 +23,10 @@ def to_surface(points: DataFrame, threshold: float, width: int) -> DataFrame:
 def surface_height(n: int, width: int) -> int:
     """Rows of a surface that has room for all input points."""
     return -(-n // width)
+
+
+def surface_shape(points: DataFrame, width: int) -> DataFrame:
+    """``width, height`` of the surface that has room for all points."""
+    if width < 1:
+        raise ValueError("width must be 1 or more")
+    return points.agg(F.count(F.lit(1)).alias("n")).select(F.lit(width).cast("long").alias("width"), F.expr(f"(n + {width - 1}) div {width}").alias("height"))

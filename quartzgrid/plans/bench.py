@@ -7,6 +7,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.predicate import hot, size_error
 from ..operators.compact import compact
 from ..operators.layout import with_morton
 from ..sources.points import generate_points, widen
@@ -24,6 +25,24 @@ def matrix(spark: SparkSession, sizes: tuple[int, ...] = SIZES) -> DataFrame:
     return column("size", sizes).crossJoin(F.broadcast(blocks)).crossJoin(F.broadcast(precisions))
 
 
+def block_counts(spark: SparkSession, sizes: tuple[int, ...] = (1 << 10, 1 << 12)) -> DataFrame:
+    """The part of the matrix that repeats exactly: ``size, block_size, precision, blocks, hot_count, error``.
+
+    ``blocks`` is the number of blocks of neighbours in row-major order that the size needs, ``hot_count`` the points
+    above the threshold in the precision, ``error`` its relative difference to the count in single precision.
+    """
+    out = None
+    for size in sizes:
+        points = generate_points(spark, size)
+        wide = widen(points).select(F.col("temp").alias("wide"), "id")
+        both = points.join(wide, "id").agg(F.count_if(hot(F.col("temp"), THRESHOLD)).alias("float"), F.count_if(hot(F.col("wide"), THRESHOLD, "double")).alias("double"))
+        one = both.select(F.lit(size).alias("size"), "float", "double")
+        out = one if out is None else out.unionByName(one)
+    cells = matrix(spark, sizes).join(out, "size")
+    own = F.when(F.col("precision") == "double", F.col("double")).otherwise(F.col("float"))
+    return cells.select("size", "block_size", "precision", F.ceil(F.col("size") / F.col("block_size")).cast("long").alias("blocks"), own.alias("hot_count"), size_error(own, F.col("float")).alias("error"))
+
+
 def run_cell(spark: SparkSession, size: int, block_size: int, precision: str) -> dict:
     """Time one cell; the error compares its count with that of the plain filter in single precision.
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from ..operators.compact import VARIANTS
-from .bench import BLOCK_SIZES, PRECISIONS, SIZES
+#: Fixed values of the benchmark and the names of the variants, written out apart from the code that they judge.
+VARIANTS = ("cpu", "library", "naive", "shared", "warp", "bitmask", "bin_atomic", "bin_partition")
+SIZES = (1024, 2048, 4096, 8192, 16384, 32768, 65536, 131072, 262144, 524288, 1048576, 2097152, 4194304, 8388608)
+BLOCK_SIZES = (32, 64, 128, 256, 512, 1024)
+PRECISIONS = ("float", "double")
 
 _SOURCES = {
     "orders": """SELECT o_orderkey AS id, o_custkey AS x, o_orderkey AS y, (o_custkey % 11 - 5)::FLOAT AS vx, (o_orderkey % 11 - 5)::FLOAT AS vy,
@@ -59,7 +62,19 @@ def oracle_sql() -> dict[str, str]:
         f"(SELECT unnest([{', '.join(repr(p) for p in PRECISIONS)}]) AS precision)",
     ])
     draw = lambda k: f"((((id * 3 + {k}) * 1103515245 + 12345) & 2147483647) / 2147483648.0::DOUBLE)"
+    grid = lambda n, w: f"""SELECT id, (id % {w})::FLOAT AS x, (id // {w})::FLOAT AS y, (10 + 30 * {draw(2)})::FLOAT AS temp FROM (SELECT unnest(range({n})) AS id)"""
+    counts = " UNION ALL ".join(f"SELECT {n}::INTEGER AS size, count(*) FILTER ({_hot(25)}) AS f, count(*) FILTER ({_hot(25, 'DOUBLE')}) AS d FROM ({grid(n, w)})" for n, w in ((1024, 32), (4096, 64)))
     out = {
+        "bench_counts": f"""SELECT size, block_size, precision, (size + block_size - 1) // block_size::BIGINT AS blocks, CASE precision WHEN 'double' THEN d ELSE f END AS hot_count,
+            CASE precision WHEN 'double' THEN abs(d - f) / f::DOUBLE ELSE 0::DOUBLE END AS error
+            FROM ({counts}) CROSS JOIN (SELECT unnest([{', '.join(map(str, BLOCK_SIZES))}])::INTEGER AS block_size) CROSS JOIN (SELECT unnest([{', '.join(repr(p) for p in PRECISIONS)}]) AS precision)""",
+        "grid_positions": f"""WITH source AS (SELECT id, x::BIGINT AS x, y::BIGINT AS y FROM ({grid(16384, 128)})), {_spread('source', 'x', 'sx')}, {_spread('sx_4', 'y', 'sy')}
+            SELECT id, sx4 | (sy4 << 1) AS morton, row_number() OVER (ORDER BY sx4 | (sy4 << 1), id) - 1 AS pos FROM sy_4""",
+        "morton_of_floats": f"""WITH raw AS (SELECT id, x * 0.75::DOUBLE - 100 AS fx, CASE WHEN id % 97 = 0 THEN 1e12::DOUBLE ELSE y / 4::DOUBLE END AS fy FROM ({_SOURCES['orders']})),
+            source AS (SELECT *, CASE WHEN abs(fx) < 2147483648 THEN trunc(fx)::BIGINT & 4294967295 END AS x, CASE WHEN abs(fy) < 2147483648 THEN trunc(fy)::BIGINT & 4294967295 END AS y FROM raw),
+            {_spread('source', 'x', 'sx')}, {_spread('sx_4', 'y', 'sy')} SELECT id, fx AS x, fy AS y, coalesce(sx4 | (sy4 << 1), -1) AS morton FROM sy_4""",
+        "block_counts_64": _counts(64, "block"),
+        "block_counts_1024": _counts(1024, "block"),
         "morton_encode": f"{_ORDERS} SELECT id, x, y, morton FROM points",
         "binary_format": f"{_ORDERS} SELECT id, lpad(bin(morton), 32, '0') AS bits FROM points",
         "bit_trace": f"{_ORDERS} {trace}",

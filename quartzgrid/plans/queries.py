@@ -101,7 +101,7 @@ def warp_ballots(spark, sf_dir):
 
 def surface_shape(spark, sf_dir):
     """Width and height of a surface with room for all points."""
-    return orders(spark, sf_dir).agg(F.count(F.lit(1)).alias("n")).select(F.lit(64).cast("long").alias("width"), F.expr("(n + 63) div 64").alias("height"))
+    return surface.surface_shape(orders(spark, sf_dir), 64)
 
 
 def one_bin(spark, sf_dir):
@@ -150,6 +150,24 @@ def variant_equivalence(spark, sf_dir):
     return compact.equivalence(events(spark, sf_dir), DEMO)
 
 
+def morton_of_floats(spark, sf_dir):
+    """Codes of coordinates in double precision, some of them negative or beyond 32 bits: truncated toward zero; -1 without a code."""
+    points = orders(spark, sf_dir)
+    x = F.col("x") * 0.75 - 100
+    y = F.when(F.col("id") % 97 == 0, F.lit(1e12)).otherwise(F.col("y") / 4)
+    wide = points.withColumns({"x": x.cast("double"), "y": y.cast("double")})
+    return layout.with_morton(wide).select("id", "x", "y", F.coalesce("morton", F.lit(-1).cast("long")).alias("morton"))
+
+
+def grid_positions(spark, sf_dir):
+    """Places in Z-order on the generated grid, whose codes fill a small part of the code space."""
+    return layout.with_position(layout.with_morton(generate_points(spark, 1 << 14))).select("id", "morton", "pos")
+
+
+def bench_counts(spark, sf_dir):
+    return bench.block_counts(spark)
+
+
 def bench_matrix(spark, sf_dir):
     return bench.matrix(spark)
 
@@ -163,9 +181,10 @@ def queries() -> dict[str, Query]:
         morton_encode, binary_format, bit_trace, compact_float, compact_double, narrowed, compact_lineitem, compact_count, bin_histogram,
         bin_histogram_dense, bin_offsets, bin_scatter_slots, bin_partition_compact, bin_summary_auto_kernel, bin_output_offsets, warp_ballots, surface_shape, one_bin, flagship, morton_sort,
         morton_sort_topn, morton_cluster, surface_pack_w64, grid_generate_n1000, positional_compare, variant_equivalence, bench_matrix, multi_threshold,
+        morton_of_floats, grid_positions, bench_counts,
     )
     out: dict[str, Query] = {f.__name__: f for f in plain}
     out |= {f"bin_id_k{k}": _bin_query(k) for k in (4, 8, 12)}
     out |= {f"compact_{v}": _variant(v) for v in compact.VARIANTS}
-    out |= {"block_counts_256": _counts(256, "block"), "warp_counts_32": _counts(32, "warp"), "block_rank": _ranks(256, "block"), "warp_rank": _ranks(32, "warp")}
+    out |= {"block_counts_256": _counts(256, "block"), "block_counts_64": _counts(64, "block"), "block_counts_1024": _counts(1024, "block"), "warp_counts_32": _counts(32, "warp"), "block_rank": _ranks(256, "block"), "warp_rank": _ranks(32, "warp")}
     return out

@@ -114,6 +114,38 @@ def test_surface_and_compare(spark):
         surface.to_surface(points, 30.0, 0)
 
 
+@pytest.mark.parametrize("n", [1 << 20, 1 << 12])
+def test_positions_are_dealt_evenly(spark, n):
+    """A grid fills the lowest codes alone; its ranges still hold about equal numbers of points."""
+    points = layout.with_morton(sources.generate_points(spark, n))
+    cuts = layout.range_bounds(points)
+    assert len(cuts) >= 3
+    sizes = [r["count"] for r in points.groupBy(layout._bucket(F.col("morton"), F.array(*map(F.lit, cuts)), len(cuts)).alias("b")).count().collect()]
+    assert len(sizes) == len(cuts) + 1 and sum(sizes) == n and max(sizes) < 2 * n / len(sizes)
+    if n < 1 << 20:
+        rows = sorted(layout.with_position(points).select("morton", "id", "pos").collect())
+        assert [r.pos for r in rows] == list(range(n))
+
+
+def test_buckets(spark):
+    cuts = [3, 7, 7, 20, 31]
+    df = spark.range(40)
+    for n in range(6):
+        own = cuts[:n]
+        bounds = F.array(*map(F.lit, own)).cast("array<long>") if own else F.array().cast("array<long>")
+        got = [r[0] for r in df.select(layout._bucket(F.col("id"), bounds, n)).collect()]
+        assert got == [sum(c <= v for c in own) for v in range(40)]
+
+
+def test_many_bins_in_blocks(spark, monkeypatch):
+    points = layout.with_morton(sources.generate_points(spark, 3000))
+    one = sorted(map(tuple, bins.offsets(points, 9).collect()))
+    monkeypatch.setattr(bins, "BROADCAST_BITS", 4)
+    monkeypatch.setattr(bins, "BLOCK_BITS", 5)
+    assert sorted(map(tuple, bins.offsets(points, 9).collect())) == one
+    assert sorted(r.slot for r in bins.scatter_slots(points, 9).collect()) == list(range(3000))
+
+
 def test_layout_prunes(spark, tmp_path):
     points = layout.with_morton(sources.generate_points(spark, 5000))
     clustered = layout.cluster_by_morton(points, 4)
