@@ -107,21 +107,39 @@ def format_chats(
     return chats.withColumn("expanded_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]))
 
 
+def _parts(content: Column) -> Column:
+    """The typed parts of an escaped content, in order: text unescaped, or the number of a placeholder. Escaped text
+    has no ``<`` of its own, so every one begins a placeholder."""
+    pieces = F.split(content, "<part:", -1)
+    typed = F.transform(
+        pieces,
+        lambda p, i: F.when(i == 0, F.array(F.struct(F.lit("text").alias("kind"), unescape(p).alias("text"), F.lit(None).cast("int").alias("number")))).otherwise(
+            F.array(
+                F.struct(
+                    unescape(F.substring_index(p, ":", 1), True).alias("kind"),
+                    F.lit(None).cast("string").alias("text"),
+                    F.substring_index(F.substring_index(F.substr(p, F.locate(":", p) + 1), ">", 1), ":", -1).cast("int").alias("number"),
+                ),
+                F.struct(F.lit("text").alias("kind"), unescape(F.substr(p, F.locate(">", p) + 1)).alias("text"), F.lit(None).cast("int").alias("number")),
+            )
+        ),
+    )
+    return F.filter(F.flatten(typed), lambda p: (p["kind"] != "text") | p["number"].isNotNull() | (p["text"] != ""))
+
+
 def read_back(chats: DataFrame) -> DataFrame:
-    """``chats`` plus ``turns`` (role and text read from ``formatted``) and ``loss_text`` (all text under the mask).
+    """``chats`` plus ``turns`` (role and text read from ``formatted``), ``parts`` (per turn its typed parts: kind,
+    text, number of the placeholder) and ``loss_text`` (all text under the mask).
 
-    Placeholders of attachments stay in the text as they are.
+    In ``turns`` and ``loss_text``, placeholders of attachments stay in the text as they are; ``parts`` tells them from
+    a text that spells one, as placeholders are taken apart before anything is unescaped. Neighbouring texts are read
+    as one, and empty ones not at all.
     """
     pieces = F.split("formatted", CLOSE, -1)
     pieces = F.slice(pieces, 1, F.size(pieces) - 1)
-    parsed = F.transform(
-        pieces,
-        lambda p: F.struct(
-            unescape(F.substring_index(F.substr(p, F.lit(len(OPEN) + 1)), ": ", 1), True).alias("role"),
-            unescape(F.substr(p, F.locate(": ", p) + 2)).alias("text"),
-        ),
-    )
-    chats = chats.withColumn("_p", pieces).withColumn("turns", parsed)
+    content = lambda p: F.substr(p, F.locate(": ", p) + 2)
+    parsed = F.transform(pieces, lambda p: F.struct(unescape(F.substring_index(F.substr(p, F.lit(len(OPEN) + 1)), ": ", 1), True).alias("role"), unescape(content(p)).alias("text")))
+    chats = chats.withColumn("_p", pieces).withColumns({"turns": parsed, "parts": F.transform("_p", lambda p: _parts(content(p)))})
     under = F.filter(F.arrays_zip("segments", "_p"), lambda z: z["segments"]["loss"])
     masked = F.transform(under, lambda z: unescape(F.substr(z["_p"], (z["segments"]["skip"] + 1).cast("int"), z["segments"]["length"].cast("int"))))
     return chats.withColumn("loss_text", F.array_join(masked, "")).drop("_p")

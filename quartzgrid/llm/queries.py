@@ -51,6 +51,16 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *map(of_kind, secrets.BASE), F.sha2(secrets.spelled(base).cast("binary"), 256).alias("base_sha256"), secrets.spelled(F.col("spans")).alias("spans"))
 
 
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6 that the fixed patterns alone decide: those SQL can repeat."""
+    return op6_secrets(spark, sf_dir).drop("spans")
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3 that say what was read back, without those that the stored form decides."""
+    return op3_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
 def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same operator over raw pages: declared by the markup, host and suffix from the address."""
     out = langid.identify_pages(_table(spark, sf_dir, "pages"), langid.train(_table(spark, sf_dir, "documents")))
@@ -95,6 +105,28 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed parts: every third turn gets an image, every fifth an audio file of its own length, every seventh a
+    document. ``parts_sha256`` is over the typed parts as they are read back from the formatted text."""
+    turn = F.coalesce(F.col("turn"), F.lit(0))
+    part = lambda kind, tokens: F.array(F.struct(F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("text"), F.concat(F.lit(f"{kind}/"), turn.cast("string")).alias("ref"), tokens.alias("tokens")))
+    text = F.array(F.struct(F.lit("text").alias("kind"), F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("long").alias("tokens")))
+    none = F.array().cast(chat.PART_TYPE)
+    of = lambda n, p: F.when(turn % n == 0, p.cast(chat.PART_TYPE)).otherwise(none)
+    unset = F.lit(None).cast("long")
+    parts = F.concat(of(3, part("image", unset)), text.cast(chat.PART_TYPE), of(5, part("audio", F.length("text").cast("long"))), of(7, part("document", unset)))
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", parts.alias("parts"))
+    back = chat.read_back(chat.format_chats(rows, parts="parts"))
+    said = F.transform(F.flatten("parts"), lambda p: F.concat(p["kind"], F.lit(":"), F.coalesce(p["text"], p["number"].cast("string")), F.lit("\n")))
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.size("attachments").cast("long").alias("n_attachments"),
+        "expanded_tokens",
+        F.sha2(F.array_join(said, "").cast("binary"), 256).alias("parts_sha256"),
+    )
+
+
 #: Passages of over 50 words, whatever their number of bytes.
 PASSAGE_WORDS = 51
 
@@ -107,4 +139,4 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     numbered = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
-    return dict(sorted(numbered.items(), key=lambda x: int(x[0][2:].split("_")[0]))) | {"language_of_pages": language_of_pages}
+    return dict(sorted(numbered.items(), key=lambda x: int(x[0][2:].split("_")[0]))) | {f.__name__: f for f in (language_of_pages, secrets_base, media_payloads, chat_parts)}

@@ -10,7 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quartzgrid.llm import components, decontamination, lpf, ngram_join, queries, substrings
+from quartzgrid.llm import components, decontamination, lpf, ngram_join, oracles, queries, substrings
+from rows import same_rows
 
 
 def docs_of(spark, sf_dir):
@@ -109,8 +110,10 @@ def test_jaccard_edges(table):
     assert ngram_join.jaccard_join(table([])).collect() == []
 
 
-def test_query_of_jaccard(spark, sf_dir):
-    got = queries.op2_jaccard(spark, sf_dir).select("doc_id", "n_shingles", "component_id").collect()
+def test_query_of_jaccard(spark, sf_dir, duck):
+    out = queries.op2_jaccard(spark, sf_dir).toPandas()
+    assert not same_rows(out, duck.execute(oracles.JACCARD).df())
+    got = spark.createDataFrame(out).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got)) == brute.jaccard(docs_of(spark, sf_dir))
 
 
@@ -177,10 +180,12 @@ def test_decontaminate_with_clashing_names(table, spark):
     assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in got) == brute.decontaminate(rows, ITEMS)
 
 
-def test_query_of_decontamination(spark, sf_dir):
+def test_query_of_decontamination(spark, sf_dir, duck):
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
     want = [(d, w, h, len(i), brute.sha(",".join(i)), c) for d, w, h, i, c in brute.decontaminate(docs_of(spark, sf_dir), items)]
-    got = queries.op8_decontamination(spark, sf_dir).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
+    out = queries.op8_decontamination(spark, sf_dir).toPandas()
+    assert not same_rows(out, duck.execute(oracles.DECONTAMINATION).df())
+    got = spark.createDataFrame(out).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
     assert sorted(map(tuple, got)) == sorted(want) and any(w[5] for w in want)
 
 
@@ -277,6 +282,8 @@ def test_passages(table, prose):
     assert substrings.remove_repeats(table([]), passage_words=20).collect() == []
 
 
-def test_query_of_repeats(spark, sf_dir):
-    got = queries.op10_repeats(spark, sf_dir).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+def test_query_of_repeats(spark, sf_dir, duck):
+    out = queries.op10_repeats(spark, sf_dir).toPandas()
+    assert not same_rows(out, duck.execute(oracles.REPEATS).df())
+    got = spark.createDataFrame(out).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert sorted(map(tuple, got)) == sorted(brute.repeats(docs_of(spark, sf_dir), 400))

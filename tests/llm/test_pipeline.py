@@ -12,7 +12,7 @@ from quartzgrid.llm.common import clean_up, durable, fresh, shared_folder
 
 def test_names():
     own = queries.queries()
-    assert [k.split("_")[0] for k in own] == [*(f"op{n}" for n in range(1, 11)), "language"]
+    assert [k.split("_")[0] for k in own] == [*(f"op{n}" for n in range(1, 11)), "language", "secrets", "media", "chat"]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "mixing", "sharding"]
 
 

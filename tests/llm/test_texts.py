@@ -69,6 +69,39 @@ def test_flac_blocks_by_seek(table):
     assert [s["sample"] for s in out.first()["seek"]] == [0, 4096, 8192]
 
 
+def test_media_has_linear_predictors(table):
+    """Streams of the operator hold subframes of every coded kind, and are read back by seek point from each place."""
+    text = "some words of a text that goes on and on " * 900
+    stream = bytes(media.add_media(table([(1, text)])).first()["media"])
+    kinds = {stream[flac._read_header(stream, at, 8)[2]] >> 1 for _, at, _ in flac.seek_points(stream)}
+    assert 32 + media.LPC_ORDER - 1 in kinds
+    whole = media.payload_of(text)
+    for lo in (0, 4095, 4096, 20_000):
+        first = next(flac.pcm_blocks(stream, lo, lo + 1))
+        assert first[0] == lo // 4096 * 4096 and first[1] == whole[first[0] : first[0] + 4096]
+
+
+def test_flac_of_long_payloads_in_bounded_memory():
+    import tracemalloc
+
+    one = os.urandom(1 << 16) + b"words of a long text " * 3000
+    payload = (one * 500)[: 50_000_000]
+    tracemalloc.start()
+    stream = flac.encode([payload], 2)[0]
+    back = flac.decode([stream])[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert back == payload and peak < 600_000_000
+    assert media.feature_of(payload[: 3 * flac.RUN + 5]) == media.feature_of(bytes(bytearray(payload[: 3 * flac.RUN + 5])))
+    x = np.frombuffer(payload[: flac.RUN + 100], np.uint8).astype(np.int64) - 128
+    plain = f"samples={len(x)};energy={(x * x).sum()};crossings={((x[1:] < 0) != (x[:-1] < 0)).sum()};roughness={np.abs(np.diff(x)).sum()};peak={np.abs(x).max()}"
+    assert media.feature_of(payload[: flac.RUN + 100]) == plain
+    bad = bytearray(stream)
+    bad[len(bad) // 2] ^= 1
+    with pytest.raises((flac.FlacError, IndexError)):
+        flac.decode([bytes(bad)])
+
+
 def test_media(table):
     df = table(EDGES)
     out = media.add_media(df)
@@ -84,8 +117,9 @@ def test_media(table):
     assert media.add_media(table([])).collect() == []
 
 
-def test_query_of_media(spark, sf_dir):
+def test_query_of_media(spark, sf_dir, duck):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert not same_rows(queries.media_payloads(spark, sf_dir).toPandas(), duck.execute(oracles.PAYLOADS).df())
     rows = queries.op3_media(spark, sf_dir).collect()
     assert len(rows) == len(texts) and all(r["payload_sha256"] == brute.sha(media.payload_of(texts[r["doc_id"]])) for r in rows)
 
@@ -161,8 +195,9 @@ def test_random_tokens_are_added(table):
     assert sum(3 in got[i] for i in range(30)) >= 28 and not any(got[100 + i] for i in range(30))
 
 
-def test_query_of_secrets(spark, sf_dir):
+def test_query_of_secrets(spark, sf_dir, duck):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert not same_rows(queries.secrets_base(spark, sf_dir).toPandas(), duck.execute(oracles.SECRETS).df())
     for r in queries.op6_secrets(spark, sf_dir).collect():
         spans = brute.base_spans(texts[r["doc_id"]])
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == n for _, k, _ in spans) for n in range(3)]
@@ -229,6 +264,32 @@ def test_chat_parts(spark):
     assert [t["text"] for t in r["turns"]] == ["see <<part:image:1><part:audio:2><part:odd:4>", "plain"]
     assert [tuple(a) for a in r["attachments"]] == [(0, "image", "i.png", 256), (0, "audio", "a.wav", 77), (0, "odd", "o", 0)] and r["expanded_tokens"] == 333
     assert r["loss_text"] == "plain"
+    typed = [[(p["kind"], p["text"], p["number"]) for p in t] for t in r["parts"]]
+    assert typed == [[("text", "see <", None), ("image", None, 1), ("audio", None, 2), ("odd", None, 4)], [("text", "plain", None)]]
+    # a text that spells a placeholder is a text
+    spelled = [("text", "<part:image:0>", None, None), ("image", None, "x", None), ("a:b<", None, "y", None), ("text", "\\b</turn>\n", None, None)]
+    rows = spark.createDataFrame([(1, 0, "user", None, spelled), (1, 1, "user", None, [])], rows.schema)
+    r = chat.read_back(chat.format_chats(rows, parts="parts")).first()
+    typed = [[(p["kind"], p["text"], p["number"]) for p in t] for t in r["parts"]]
+    assert typed == [[("text", "<part:image:0>", None), ("image", None, 1), ("a:b<", None, 2), ("text", "\\b</turn>\n", None)], []]
+
+
+def test_query_of_chat_parts(spark, sf_dir):
+    rows = [r for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()]
+    want = {}
+    for r in sorted(rows, key=lambda r: (r["conv_id"], r["turn"], r["role"], r["text"])):
+        own = want.setdefault(r["conv_id"], [0, 0, 0, ""])
+        kinds = ["image"] * (r["turn"] % 3 == 0) + ["text"] + ["audio"] * (r["turn"] % 5 == 0) + ["document"] * (r["turn"] % 7 == 0)
+        own[0] += 1
+        for i, kind in enumerate(kinds):
+            if kind == "text" and r["text"]:
+                own[3] += f"text:{r['text']}\n"
+            elif kind != "text":
+                own[1] += 1
+                own[2] += {"image": 256, "audio": len(r["text"]), "document": 512}[kind]
+                own[3] += f"{kind}:{i}\n"
+    got = queries.chat_parts(spark, sf_dir).collect()
+    assert {r["conv_id"]: (r["n_turns"], r["n_attachments"], r["expanded_tokens"], r["parts_sha256"]) for r in got} == {k: (*v[:3], brute.sha(v[3])) for k, v in want.items()}
 
 
 def test_query_of_chats(spark, sf_dir, duck):
