@@ -10,13 +10,15 @@ from __future__ import annotations
 import functools
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 BLOCK, RATE, BITS = 4096, 8000, 8
 #: Coefficients of the format's fixed predictors of order 0 to 4, newest sample first.
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
+#: Bytes of payload (whole frames) that are encoded or decoded in one go.
+RUN = 512 * BLOCK
 #: Residuals decoded in one go: bounds the matrix of frames x samples.
 CELLS = 4 << 20
 
@@ -95,43 +97,100 @@ def _zigzag(r: np.ndarray) -> np.ndarray:
     return (r << 1) ^ (r >> 31)
 
 
-def _lpc(x: np.ndarray, order: int, precision: int = 12) -> tuple[list[int], int] | None:
-    """Quantised linear predictor of one frame by autocorrelation and the Levinson-Durbin recursion."""
-    f = x.astype(float) * np.hanning(len(x) + 2)[1:-1]
-    r = np.array([f[: len(f) - j] @ f[j:] for j in range(order + 1)])
-    if r[0] <= 0:
-        return None
-    a, err = np.zeros(order), r[0]
-    for i in range(order):
-        k = (r[i + 1] - a[:i] @ r[i:0:-1]) / err
-        a[: i + 1] = np.append(a[:i] - k * a[:i][::-1], k)
-        err *= 1 - k * k
-        if err <= 0:
-            return None
-    shift = min(15, precision - 2 - int(np.floor(np.log2(max(np.abs(a).max(), 1e-9)))))
-    if shift < 0:
-        return None
-    half = 1 << (precision - 1)
-    return [int(v) for v in np.clip(np.round(a * (1 << shift)), -half, half - 1)], shift
+PRECISION = 12
+
+
+def _predictors(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray, place: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Quantised linear predictors of all frames at once: (coefficients by frame, shifts, whether they are valid).
+
+    Autocorrelation within each frame, then the Levinson-Durbin recursion with a row a frame.
+    """
+    r = [np.add.reduceat(x * x, starts, dtype=np.int64).astype(float)]
+    for j in range(1, order + 1):
+        lagged = np.zeros(len(x), np.int32)
+        lagged[j:] = x[j:] * x[:-j]
+        r.append(np.add.reduceat(np.where(place >= j, lagged, 0), starts, dtype=np.int64).astype(float))
+    a, err = np.zeros((order, len(starts))), r[0].copy()
+    valid = (sizes > order) & (err > 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for i in range(order):
+            k = (r[i + 1] - sum(a[j] * r[i - j] for j in range(i))) / np.where(valid, err, 1.0)
+            a[:i], a[i] = a[:i] - k * a[:i][::-1], k
+            err = err * (1 - k * k)
+            valid &= err > 0
+        largest = np.maximum(np.abs(a).max(axis=0), 1e-9)
+        shift = np.minimum(15, PRECISION - 2 - np.floor(np.log2(np.where(valid, largest, 1.0))).astype(np.int64))
+    valid &= shift >= 0
+    half = 1 << (PRECISION - 1)
+    coefs = np.clip(np.round(np.where(valid, a, 0.0) * 2.0 ** np.maximum(shift, 0)), -half, half - 1).astype(np.int32)
+    return coefs, np.maximum(shift, 0), valid
 
 
 def encode(payloads: list[bytes], lpc_order: int = 0) -> list[bytes]:
     """One FLAC stream a payload (of 1 byte or more), each byte b as the sample b - 128, with a seek point a frame.
 
-    Every frame takes the shortest of constant, verbatim, fixed predictor and, if asked for, linear predictor.
+    Every frame takes the shortest of constant, verbatim, fixed predictor and, if asked for, linear predictor. A long
+    payload is encoded in runs of frames, so the memory that it takes besides itself is bounded.
     """
+    if any(len(p) > RUN for p in payloads):
+        return [_encode_long(p, lpc_order) if len(p) > RUN else encode([p], lpc_order)[0] for p in payloads]
+    if not payloads:
+        return []
+    data, frames, first = *_encode_frames(payloads, lpc_order), 0
+    done = []
+    for p in payloads:
+        own = frames[first : first + -(-len(p) // BLOCK)]
+        first += len(own)
+        done.append(_stream(len(p), _signed_md5([p]), own, data[int(own["offset"][0]) : int(own["offset"][-1] + own["length"][-1])]))
+    return done
+
+
+def _signed_md5(pieces: Iterable[bytes]) -> bytes:
+    """The stream's checksum: over the samples as signed bytes."""
+    md5 = hashlib.md5()
+    for p in pieces:
+        md5.update((np.frombuffer(p, np.uint8) ^ 0x80).tobytes())
+    return md5.digest()
+
+
+def _encode_long(payload: bytes, lpc_order: int) -> bytes:
+    pieces, tables, at = [], [], 0
+    for lo in range(0, len(payload), RUN):
+        data, frames = _encode_frames([payload[lo : lo + RUN]], lpc_order, lo // BLOCK)
+        frames["offset"] += at
+        at += len(data)
+        pieces.append(data)
+        tables.append(frames)
+    md5 = _signed_md5(payload[lo : lo + RUN] for lo in range(0, len(payload), RUN))
+    return _stream(len(payload), md5, np.concatenate(tables), b"".join(pieces))
+
+
+#: What the encoder tells of each frame: bytes from the start of its data, their number, its number and samples.
+FRAME = [("offset", np.int64), ("length", np.int64), ("number", np.int64), ("samples", np.int64)]
+
+
+def _stream(samples: int, md5: bytes, frames: np.ndarray, data: bytes) -> bytes:
+    packed = RATE << 44 | (BITS - 1) << 36 | samples
+    info = struct.pack(">HH", BLOCK, BLOCK) + int(frames["length"].min()).to_bytes(3, "big") + int(frames["length"].max()).to_bytes(3, "big") + packed.to_bytes(8, "big") + md5
+    points = np.zeros(len(frames), [("sample", ">u8"), ("offset", ">u8"), ("samples", ">u2")])
+    points["sample"], points["offset"], points["samples"] = frames["number"] * BLOCK, frames["offset"] - frames["offset"][0], frames["samples"]
+    seek = points.tobytes()
+    return b"fLaC" + b"\x00\x00\x00\x22" + info + b"\x83" + len(seek).to_bytes(3, "big") + seek + data
+
+
+def _encode_frames(payloads: list[bytes], lpc_order: int, first_number: int = 0) -> tuple[bytes, np.ndarray]:
+    """(the frames of all payloads, one :data:`FRAME` each); frames of a payload are numbered from ``first_number``."""
     raw = np.frombuffer(b"".join(payloads), np.uint8)
     x = raw.astype(np.int32) - 128
     lengths = np.array([len(p) for p in payloads], np.int64)
-    if not len(lengths):
-        return []
     if lengths.min() < 1:
         raise FlacError("an empty stream has no samples")
     per = -(-lengths // BLOCK)
     stream = np.repeat(np.arange(len(payloads)), per)
-    number = np.arange(len(stream)) - np.repeat(np.cumsum(per) - per, per)
-    starts = np.repeat(np.cumsum(lengths) - lengths, per) + number * BLOCK
-    sizes = np.minimum(BLOCK, np.repeat(lengths, per) - number * BLOCK)
+    index = np.arange(len(stream)) - np.repeat(np.cumsum(per) - per, per)
+    number = index + first_number
+    starts = np.repeat(np.cumsum(lengths) - lengths, per) + index * BLOCK
+    sizes = np.minimum(BLOCK, np.repeat(lengths, per) - index * BLOCK)
     frames = len(starts)
     place = np.arange(len(x)) - np.repeat(starts, sizes)
 
@@ -150,18 +209,19 @@ def encode(payloads: list[bytes], lpc_order: int = 0) -> list[bytes]:
     del zs
     predictors: dict[int, tuple[list[int], int]] = {}
     if lpc_order:
-        for f in range(frames):
-            s, n = int(starts[f]), int(sizes[f])
-            if n <= lpc_order or not (got := _lpc(x[s : s + n], lpc_order)):
-                continue
-            coefs, shift = got
-            own = x[s : s + n].astype(np.int64)
-            guess = sum(c * own[lpc_order - 1 - j : n - 1 - j] for j, c in enumerate(coefs)) >> shift
-            zz = _zigzag((own[lpc_order:] - guess).astype(np.int32))
-            k = int(np.clip(np.floor(np.log2(max(zz.sum(), 1) / len(zz))), 0, 14))
-            if len(zz) * (k + 1) + int((zz >> k).sum()) + 8 * lpc_order + 9 + 12 * lpc_order < costs[order[f]][f]:
-                z[s : s + lpc_order], z[s + lpc_order : s + n] = 0, zz
-                order[f], predictors[f] = lpc_order, got
+        coefs, shifts, valid = _predictors(x, starts, sizes, place, lpc_order)
+        guess = np.zeros(len(x), np.int32)
+        for j in range(lpc_order):
+            guess[j + 1 :] += np.repeat(coefs[j], sizes)[j + 1 :] * x[: -j - 1]
+        zz = np.where(place >= lpc_order, _zigzag(x - (guess >> np.repeat(shifts, sizes).astype(np.int32))), 0)
+        del guess
+        n = sizes - lpc_order
+        total = np.add.reduceat(zz, starts, dtype=np.int64)
+        k = np.clip(np.floor(np.log2(np.maximum(total, 1) / np.maximum(n, 1))), 0, 14).astype(np.int64)
+        better = valid & (n * (k + 1) + (total >> k) + 8 * lpc_order + 9 + PRECISION * lpc_order < np.min(costs, axis=0))
+        z = np.where(np.repeat(better, sizes), zz, z)
+        order = np.where(better, lpc_order, order)
+        predictors = {f: (coefs[:, f].tolist(), int(shifts[f])) for f in np.flatnonzero(better).tolist()}
     n = sizes - order
     total = np.add.reduceat(z, starts).astype(np.int64)
     guess = np.clip(np.floor(np.log2(np.maximum(total, 1) / np.maximum(n, 1))), 0, 14).astype(np.int64)
@@ -171,7 +231,7 @@ def encode(payloads: list[bytes], lpc_order: int = 0) -> list[bytes]:
         # warm-up samples have residual 0 here and no code
         cost = n * (k + 1) + np.add.reduceat(z >> np.repeat(k, sizes), starts)
         best_k, best = np.where(cost < best, k, best_k), np.minimum(cost, best)
-    more = np.array([9 + 12 * lpc_order if f in predictors else 0 for f in range(frames)]) if predictors else 0
+    more = np.array([9 + PRECISION * lpc_order if f in predictors else 0 for f in range(frames)]) if predictors else 0
     coded = 8 * order + 10 + best + more
     flat = np.maximum.reduceat(x, starts) == np.minimum.reduceat(x, starts)
     kind = np.where(flat, 0, np.where(coded < 8 * sizes, 2, 1))
@@ -216,28 +276,16 @@ def encode(payloads: list[bytes], lpc_order: int = 0) -> list[bytes]:
                 coefs, shift = predictors[f]
                 word, used = 11 << 5 | shift, 9
                 for c in coefs:
-                    word, used = word << 12 | c & 0xFFF, used + 12
+                    word, used = word << PRECISION | c & 0xFFF, used + PRECISION
             word, used = word << 10 | int(best_k[f]), used + 10
             spare = -used % 8
             out[o + m : o + m + (used + spare) // 8] |= np.frombuffer((word << spare).to_bytes((used + spare) // 8, "big"), np.uint8)
     crc = crc16(out, offset, length - 2)
     out[offset + length - 2], out[offset + length - 1] = crc >> 8, crc & 0xFF
 
-    done, frame = [], 0
-    data = out.tobytes()
-    for i, p in enumerate(payloads):
-        own = slice(frame, frame + int(per[i]))
-        lo = int(offset[own.start])
-        hi = int(offset[own.stop - 1] + length[own.stop - 1])
-        packed = RATE << 44 | (BITS - 1) << 36 | len(p)
-        md5 = hashlib.md5((raw[int(starts[own.start]) : int(starts[own.start]) + len(p)] ^ 0x80).tobytes()).digest()
-        info = struct.pack(">HH", BLOCK, BLOCK) + int(length[own].min()).to_bytes(3, "big") + int(length[own].max()).to_bytes(3, "big") + packed.to_bytes(8, "big") + md5
-        points = np.zeros(own.stop - own.start, [("sample", ">u8"), ("offset", ">u8"), ("samples", ">u2")])
-        points["sample"], points["offset"], points["samples"] = number[own] * BLOCK, offset[own] - lo, sizes[own]
-        seek = points.tobytes()
-        done.append(b"fLaC" + b"\x00\x00\x00\x22" + info + b"\x83" + len(seek).to_bytes(3, "big") + seek + data[lo:hi])
-        frame = own.stop
-    return done
+    table = np.zeros(frames, FRAME)
+    table["offset"], table["length"], table["number"], table["samples"] = offset, length, number, sizes
+    return out.tobytes(), table
 
 
 class _Bits:
@@ -466,8 +514,18 @@ def _metadata(data: bytes) -> tuple[dict, np.ndarray, int]:
 def decode(streams: list[bytes]) -> list[bytes]:
     """The payloads of FLAC streams. Verifies header, frame and whole-stream checksums.
 
-    Streams whose seek points name every frame are decoded all at once, others frame after frame, all in step.
+    Streams whose seek points name every frame are decoded all at once (long ones in runs of frames, in bounded
+    memory), others frame after frame, all in step.
     """
+    if any(len(s) > RUN for s in streams) and len(streams) > 1:
+        return [decode([s])[0] for s in streams]
+    if streams and len(streams[0]) > RUN:
+        info, seek, first = _metadata(streams[0])
+        if int(seek["samples"].sum()) == info["samples"]:
+            pieces = [piece for _, piece in _run_of_frames(streams[0], info, seek, first)]
+            if sum(map(len, pieces)) != info["samples"] or any(info["md5"]) and _signed_md5(pieces) != info["md5"]:
+                raise FlacError("the checksum of the stream does not hold")
+            return [b"".join(pieces)]
     data = b"".join(streams)
     base, at, waiting = 0, [], []
     done: list[list[dict]] = [[] for _ in streams]
@@ -501,13 +559,24 @@ def decode(streams: list[bytes]) -> list[bytes]:
     return out
 
 
+def _run_of_frames(stream: bytes, info: dict, seek: np.ndarray, first: int) -> Iterator[tuple[int, bytes]]:
+    """(first sample, PCM bytes) of the frames of some neighbouring seek points, decoded in runs of bounded memory."""
+    for lo in range(0, len(seek), RUN // BLOCK):
+        own = seek[lo : lo + RUN // BLOCK]
+        begin = first + int(own["offset"][0])
+        end = first + int(seek["offset"][lo + len(own)]) if lo + len(own) < len(seek) else len(stream)
+        for point, f in zip(own, _decode_frames(stream[begin:end], [first + int(o) - begin for o in own["offset"]], info["bits"]), strict=True):
+            if len(f["x"]) and (f["x"].min() < -128 or f["x"].max() > 127):
+                raise FlacError("the samples do not fit the stream information")
+            yield int(point["sample"]), (f["x"] + 128).astype(np.uint8).tobytes()
+
+
 def pcm_blocks(stream: bytes, from_sample: int = 0, to_sample: int | None = None) -> Iterator[tuple[int, bytes]]:
     """(first sample, PCM bytes) of each frame that has samples in the range, found by the seek points alone."""
     info, seek, first = _metadata(stream)
     stop = info["samples"] if to_sample is None else to_sample
     own = seek[(seek["sample"] < stop) & (seek["sample"] + seek["samples"] > from_sample)]
-    for point, f in zip(own, _decode_frames(stream, [first + int(o) for o in own["offset"]], info["bits"]), strict=True):
-        yield int(point["sample"]), (f["x"] + 128).astype(np.uint8).tobytes()
+    yield from _run_of_frames(stream, info, own, first)
 
 
 def seek_points(stream: bytes) -> list[tuple[int, int, int]]:

@@ -17,6 +17,8 @@ from .common import fresh, ship
 #: Payload bytes that are encoded and decoded in one go: bounds the memory of a Python worker. A longer text
 #: makes a batch of its own.
 BATCH_BYTES = 3 << 20
+#: Order of the linear predictors that frames can take instead of a fixed one.
+LPC_ORDER = 2
 MEDIA = (
     "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary,"
     " seek array<struct<sample:long,offset:long,samples:long>>"
@@ -31,11 +33,15 @@ def payload_of(text: str | None) -> bytes:
 
 def feature_of(pcm: bytes) -> str:
     """Loudness, sign changes and spread of the samples, in integers so that equal samples give equal text."""
-    x = np.frombuffer(pcm, np.uint8).astype(np.int64) - 128
-    energy = int((x * x).sum())
-    turns = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
-    rough = int(np.abs(np.diff(x)).sum())
-    return f"samples={len(x)};energy={energy};crossings={turns};roughness={rough};peak={int(np.abs(x).max())}"
+    energy = turns = rough = peak = 0
+    for lo in range(0, len(pcm), flac.RUN):  # with the sample before, for the differences
+        x = np.frombuffer(pcm, np.uint8, min(flac.RUN + (lo > 0), len(pcm) - lo + (lo > 0)), lo - (lo > 0)).astype(np.int64) - 128
+        own = x[1:] if lo else x
+        energy += int((own * own).sum())
+        turns += int(((x[1:] < 0) != (x[:-1] < 0)).sum())
+        rough += int(np.abs(np.diff(x)).sum())
+        peak = max(peak, int(np.abs(own).max()))
+    return f"samples={len(pcm)};energy={energy};crossings={turns};roughness={rough};peak={peak}"
 
 
 def _batches(texts: pd.Series) -> Iterator[list[bytes]]:
@@ -65,7 +71,7 @@ def flac_media(text: Column, keep_media: bool = True) -> Column:
             rows = []
             lengths = iter([len((t or "").encode()) for t in texts])
             for payloads in _batches(texts):
-                streams = flac.encode(payloads)
+                streams = flac.encode(payloads, LPC_ORDER)
                 for stream, pcm in zip(streams, flac.decode(streams), strict=True):
                     rows.append((
                         next(lengths), len(pcm), hashlib.sha256(pcm).hexdigest(), zlib.crc32(pcm[-64:]), len(stream), hashlib.sha256(stream).hexdigest(), feature_of(pcm),
@@ -89,7 +95,12 @@ def flac_blocks(media: Column, from_sample: int = 0, to_sample: int | None = Non
 
 
 def add_media(df: DataFrame, text: str = "text", keep_media: bool = True) -> DataFrame:
-    """``df`` plus the columns of :data:`MEDIA`; input columns of these names are replaced. Row by row, no shuffle."""
+    """``df`` plus the columns of :data:`MEDIA`; input columns of these names are replaced. Row by row, no shuffle.
+
+    Null and empty texts are stored as 64 zero bytes; repeated rows are stored each, alike; an empty table gives an
+    empty result. Long texts are encoded and decoded in runs of 512 frames, so that a worker needs a few times the
+    text itself besides a fixed amount.
+    """
     ship(df.sparkSession)
     names = [x.split()[0] for x in MEDIA.split(", ")][:7] + ["media", "seek"]
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in names]
