@@ -234,7 +234,11 @@ def identify(
 
 
 def identify_pages(df: DataFrame, model: Model, *, url: str = "url", html: str = "html", **options) -> DataFrame:
-    """:func:`identify` for raw pages: declared by the markup, host and suffix from the address. Tags are not text."""
+    """:func:`identify` for raw pages: declared by the markup, host and suffix from the address. Tags are not text.
+
+    A null or empty page has no text and is rejected; a null address, or one without a host, is a group of its own.
+    Repeated rows are judged each; other columns may have any names; an empty table gives an empty result.
+    """
     host, suffix = address_parts(F.col(url))
     (t,) = fresh(df, "_plain")
     plain = F.regexp_replace(F.regexp_replace(F.col(html), r"(?is)<(script|style)\b.*?</\1>", " "), r"<[^>]*>", " ")

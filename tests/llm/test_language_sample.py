@@ -26,3 +26,18 @@ def test_equal_rows_are_drawn_as_one(table):
     assert a > b
     assert langid.train(docs.drop("doc_id"), rows=40, each=20).languages == ("en", "fr")
     assert langid.train(docs.withColumn("lang", F.lit(None).cast("string"))).languages == ()
+
+
+def test_pages_of_all_kinds(spark, table):
+    model = langid.train(table(rows(60, 0, "the and of with hand", "en") + rows(60, 100, "der die und mit hand", "de")))
+    page = "<html lang='de'><body>der die und mit hand</body></html>"
+    pages = [
+        (1, "https://a.de/x", page, "k", 1), (1, "https://a.de/x", page, "k", 1), (2, None, page, "k", 2), (3, "no address", "the and of with hand", None, 3),
+        (4, "https://a.de", None, "k", 4), (5, "https://a.de", "", "k", 5), (None, None, None, None, None), (6, "https://b.com", "<p>" + "the and of with hand " * 50_000, "k", 6),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, language string, _plain int")
+    out = langid.identify_pages(df, model)
+    assert set(out.columns) == {"page_id", "url", "html", "_plain", "language", "confidence", "accepted", "text_language"}
+    got = sorted((r["page_id"] or 0, r["language"], r["accepted"]) for r in out.collect())
+    assert got == [(0, "und", False), (1, "de", True), (1, "de", True), (2, "de", True), (3, "en", True), (4, "und", False), (5, "und", False), (6, "en", True)]
+    assert langid.identify_pages(df.limit(0), model).collect() == []
