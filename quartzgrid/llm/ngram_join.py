@@ -258,8 +258,9 @@ def jaccard_join(
     # component of each class, least key of each component
     named = links.label(classes).withColumn("cls", F.col("label")).drop("label")
     rows = base.select("row", "key", "n", "k1", "k2")  # empty sets are in no class
-    keyed = rows.groupBy("n", "k1", "k2").agg(F.min("key").alias("least")).join(named, ["n", "k1", "k2"])
-    least = keyed.groupBy("cls").agg(F.min("least").alias("component_id"))
-    of_class = keyed.join(least, "cls").select("n", "k1", "k2", "component_id", F.col("cls").alias("component"))
+    keyed = durable(rows.groupBy("n", "k1", "k2").agg(F.min("key").alias("least")).join(named, ["n", "k1", "k2"]))
+    # both sides are stored, so that the classes of a large component can be split where the least keys are too many
+    least = durable(keyed.groupBy("cls").agg(F.min("least").alias("component_id")))
+    of_class = keyed.join(small(least, SMALL_ROWS), "cls").select("n", "k1", "k2", "component_id", F.col("cls").alias("component"))
     out = rows.join(of_class, ["n", "k1", "k2"], "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"), "row", F.coalesce("component", "row").alias("component"))
