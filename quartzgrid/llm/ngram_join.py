@@ -206,7 +206,6 @@ def jaccard_join(
     free = prefix_size(F.col("n"), percent) - (F.col("n") - F.col("m"))  # prefix places left for shared tokens
     sets = gathered.where(free > 0).select("cls", "n", F.sort_array("x")["token"].alias("tokens"), free.cast("int").alias("places"), (F.col("m") / F.col("n")).alias("central"))
     sets = durable(sets)
-    prefix = lambda more: sets.select("cls", "n", F.size("tokens").alias("m"), "central", F.posexplode(F.slice("tokens", F.lit(1), F.col("places") + more)).alias("r", "token"))
     # 4. cells; every class is a component of its own so far
     lists = sets.select("cls", "n", F.size("tokens").alias("m"), "central", F.posexplode(F.slice("tokens", F.lit(1), F.col("places") + 1)).alias("r", "token"))
     cell = ["token", "band"]
