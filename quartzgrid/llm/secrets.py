@@ -7,9 +7,17 @@ its characters, and three tests take "symbols drawn evenly and independently fro
 * runs of symbols in the lower and upper half of the alphabet (Wald-Wolfowitz),
 * serial correlation of neighbouring symbols.
 
-Fisher's method combines the three. A token is dismissed as ordinary text where randomness is rejected, with the
-false-discovery rate (real secrets among the dismissed) held at ``rate`` by Benjamini and Hochberg within each
-encoding and length class, as the power of the tests depends on both. No token is left out beforehand. What is not dismissed is a span of kind ``random``.
+Fisher's method combines the three. Two false-discovery controls stand side by side within each encoding and length
+class, as the power of the tests depends on both; no token is left out beforehand.
+
+* A token is dismissed as ordinary text where randomness is rejected, with the share of real secrets among the
+  dismissed held at ``rate`` by Benjamini and Hochberg.
+* The p values of real secrets are even, so the tokens in the upper half of p values tell how many secrets there are
+  (Storey). What else is above a p value must be ordinary: tokens are reported only from a p value on above which that
+  estimated share of ordinary ones is at most ``rate``.
+
+A token that passes both is a span of kind ``random``. The second control can cost real secrets in a class full of
+ordinary tokens; in a class of a few tokens it has little to go by, and the first decides.
 Ranks come from a histogram of p values by encoding and class, which is bounded, so no global sort is made.
 
 Positions: splitting a text at a pattern gives the gaps between its matches; running sums over gaps and matches are
@@ -56,6 +64,8 @@ ENCODINGS = (
 CLASSES = (20, 24, 32, 48, 96)
 #: Bins of the histogram: so many to a factor of ten of the p value, down to the last bin.
 BINS, LAST_BIN = 50, 5000
+#: The bins below this one hold the upper half of p values.
+EVEN = 15
 
 
 def _normal_tail(z: Column) -> Column:
@@ -125,15 +135,26 @@ def battery(df: DataFrame, token: str) -> DataFrame:
 
 def dismissed(tokens: DataFrame, rate: float = 0.05) -> DataFrame:
     """``encoding, class, last_bin``: tokens of an encoding and length class are dismissed from that bin on. One row
-    an encoding and class at most.
+    an encoding and class.
 
-    Benjamini-Hochberg over a histogram: the p value of a bin is taken as its upper end, which errs on keeping.
+    Both controls read a histogram of p values. For Benjamini-Hochberg the p value of a bin is taken as its upper end,
+    which errs on keeping. For the share of ordinary tokens among the reported it is the lower end; the tokens in the
+    upper half of p values count as one more than they are, so that a class of few tokens is not emptied by chance.
     """
+    p = lambda b: F.pow(F.lit(10.0), -b / BINS)
     bins = tokens.groupBy("encoding", "class", "bin").agg(F.count(F.lit(1)).alias("n"))
-    strongest = Window.partitionBy("encoding", "class").orderBy(F.desc("bin"))
-    ranked = bins.withColumn("rank", F.sum("n").over(strongest)).withColumn("all", F.sum("n").over(Window.partitionBy("encoding", "class")))
-    passed = ranked.where(F.pow(F.lit(10.0), -F.col("bin") / BINS) <= rate * F.col("rank") / F.col("all"))
-    return passed.groupBy("encoding", "class").agg(F.min("bin").alias("last_bin"))
+    of_class = Window.partitionBy("encoding", "class")
+    ranked = bins.withColumns({
+        "rank": F.sum("n").over(of_class.orderBy(F.desc("bin"))),
+        "above": F.sum("n").over(of_class.orderBy("bin")),
+        "all": F.sum("n").over(of_class),
+        "even": F.sum(F.when(F.col("bin") < EVEN, F.col("n")).otherwise(0)).over(of_class),
+    })
+    secrets = (F.col("even") + 1) / (1 - 10 ** (-EVEN / BINS)) * (1 - p(F.col("bin") + 1))
+    rejected = p(F.col("bin")) <= rate * F.col("rank") / F.col("all")
+    reported = F.col("above") - secrets <= rate * F.col("above")
+    ends = ranked.groupBy("encoding", "class").agg(F.min(F.when(rejected, F.col("bin"))).alias("first"), F.max(F.when(reported, F.col("bin") + 1)).alias("end"))
+    return ends.select("encoding", "class", F.least("first", F.coalesce("end", F.lit(0))).alias("last_bin"))
 
 
 def _found(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
