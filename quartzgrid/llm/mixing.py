@@ -4,8 +4,9 @@ Every source has a word budget, its target. A source that is larger than its bud
 seeded hash lies under a threshold; one that is smaller repeats all of its documents and takes the threshold
 for the rest. The threshold is found without sorting documents: words are summed by source and by the leading
 12 bits of the hash, the bucket in which the budget ends is refined by the next 12 bits, and what is left by
-the whole hash. A document that the budget cuts takes a part of its words; documents of equal hash (repeated
-rows) share that part evenly.
+the whole hash. A document that the budget cuts takes a part of its words; documents of equal hash (rows of equal
+key and text) share that part evenly. The text is part of the hash, so different documents without a key, or of one
+key, are cut apart.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix_hash(key: Column, seed: int) -> Column:
-    """60 bits of the MD5 digest of the seed and the key, in plain SQL; a null key counts as one key."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null"))))
+def mix_hash(key: Column, text: Column, seed: int) -> Column:
+    """60 bits of the MD5 digest of the seed, the key and the text, in plain SQL; a null key counts as one key, and a
+    null text as an empty one."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
@@ -98,13 +100,13 @@ def mix_sources(
     the words that the mix takes from this row, repeats counted: at most ``max_repeat`` x ``size``. Reruns agree.
     Input columns that have one of these names are replaced.
 
-    A null source is a source of its own and comes last; a null key is one key. Sources without words get the
-    target 0. Repeated rows share one hash: all of them, none, or an even part of each is taken. An empty table
-    gives an empty result.
+    A null source is a source of its own and comes last; a null key is one key, whose texts are told apart. Sources
+    without words get the target 0. Rows of equal key and text share one hash: all of them, none, or an even part of
+    each, in whole words, is taken. An empty table gives an empty result.
     """
     df = df.drop(*[c for c in df.columns if c.lower() in ("size", "source_size", "target", "taken")])
     h, of, found_at = fresh(df, "_h", "_of", "_found_at")
-    measured = {"size": word_count(F.col(text)), h: mix_hash(F.col(key), seed)}
+    measured = {"size": word_count(F.col(text)), h: mix_hash(F.col(key), F.col(text), seed)}
     sized = durable(df.select(F.col(source).alias("source"), measured["size"].alias("size"), measured[h].alias("_h")))
     targets = durable(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeat))
     cuts = _thresholds(sized, targets)

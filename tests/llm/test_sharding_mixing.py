@@ -105,6 +105,20 @@ def test_mix_of_repeated_rows(table):
     assert [r["taken"] for r in mixing.mix_sources(table([(1, None), (2, " ")])).collect()] == [0, 0]
 
 
+@pytest.mark.parametrize("key", [None, 5])
+def test_mix_cuts_one_document_of_a_hot_key(table, key):
+    """Most of a source has one key; its texts differ, so one document at most is cut, and whole copies meet the target."""
+    docs = [(key, f"t{i} " * 5, "en", "a") for i in range(400)] + [(i, "w " * 10, "en", "b") for i in range(90)] + [(900 + i, "w " * 7, "en", "c") for i in range(80)]
+    mix = mixing.mix_sources(table(docs)).withColumn("times", mixing.copies(F.col("size"), F.col("taken")))
+    rows = mix.collect()
+    assert len(rows) == len(docs)
+    for s, (_, target) in brute.mix([(d, t, s) for d, t, _, s in docs]).items():
+        own = [r for r in rows if r["source"] == s]
+        assert sum(r["taken"] % r["size"] != 0 for r in own) <= 1
+        assert abs(sum(r["taken"] for r in own) - target) <= 1
+        assert abs(sum(r["times"] * r["size"] for r in own) - target) <= 10
+
+
 def test_copies(spark):
     df = spark.createDataFrame([(10, 0), (10, 4), (10, 5), (10, 25), (10, 30), (0, 0)], "s long, t long")
     assert [r[0] for r in df.select(mixing.copies(F.col("s"), F.col("t"))).collect()] == [0, 0, 1, 3, 3, 0]
