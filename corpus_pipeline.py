@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quartzgrid.llm import decontamination, langid, mixing, ngram_join, sharding
-from quartzgrid.llm.common import durable, fresh, small
+from quartzgrid.llm.common import durable, fresh, scratch, small
 
 #: Row numbers that are broadcast to pick rows, by count; above, the rows are joined by shuffle.
 SMALL_ROWS = 2_000_000
@@ -21,13 +21,13 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """The documents stored with a number each, and the name of its column: the operator and :func:`_pick` read the
     same numbers, however files are split."""
     (own,) = fresh(docs, "_row")
-    return durable(docs.withColumn(own, F.monotonically_increasing_id())), own
+    return durable(docs.withColumn(own, F.monotonically_increasing_id()), keep=True), own
 
 
 def _pick(docs: DataFrame, own: str, rows: DataFrame, how: str) -> DataFrame:
     """The documents of :func:`_numbered` that are, or are not, among the row numbers that an operator reported."""
     (theirs,) = fresh(docs, "_chosen")
-    chosen = small(durable(rows.select(F.col("row").alias(theirs))), SMALL_ROWS)
+    chosen = small(durable(rows.select(F.col("row").alias(theirs)), keep=True), SMALL_ROWS)
     return docs.join(chosen, F.col(own) == F.col(theirs), how).drop(own)
 
 
@@ -38,16 +38,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least doc_id stays (of equal ones the first row; without doc_id last)."""
-    stored, own = _numbered(docs)
-    found = ngram_join.jaccard_join(stored, row=own)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
-    return _pick(stored, own, found.groupBy("component").agg(first.alias("x")).select("x.row"), "left_semi")
+    with scratch(spark):
+        stored, own = _numbered(docs)
+        found = ngram_join.jaccard_join(stored, row=own)
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+        return _pick(stored, own, found.groupBy("component").agg(first.alias("x")).select("x.row"), "left_semi")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    stored, own = _numbered(docs)
-    return _pick(stored, own, decontamination.decontaminate(stored, benchmark, row=own).where("contaminated"), "left_anti")
+    with scratch(spark):
+        stored, own = _numbered(docs)
+        return _pick(stored, own, decontamination.decontaminate(stored, benchmark, row=own).where("contaminated"), "left_anti")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

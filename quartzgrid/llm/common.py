@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,10 +49,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, keep: bool = False) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and return the table read back.
 
-    The files outlive any executor. They are removed by :func:`clean_up`, or when the driver's JVM ends.
+    The files outlive any executor. They are removed at the end of :func:`scratch` (unless ``keep``), by
+    :func:`clean_up`, or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/quartzgrid-{uuid.uuid4().hex}"
@@ -59,18 +62,45 @@ def durable(df: DataFrame) -> DataFrame:
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     _tables.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if keep:
+        _kept.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 _tables: dict[str, list[str]] = {}
+_kept: set[str] = set()
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that :func:`durable` writes inside, but for those to ``keep``, when the block ends.
+
+    What is returned from the block may read kept tables and the input only, as it is worked out later, and again
+    where an executor is lost. An inner block keeps its tables for the outer one, which removes those that it
+    doesn't keep itself.
+    """
+    own = spark.sparkContext.applicationId
+    before, outer = len(_tables.get(own, [])), set(_kept)
+    try:
+        yield
+    finally:
+        tables = _tables.get(own, [])
+        gone = [path for path in tables[before:] if path not in _kept]
+        tables[before:] = [path for path in tables[before:] if path in _kept]
+        _kept.intersection_update(outer)
+        _remove(spark, gone)
 
 
 def clean_up(spark: SparkSession) -> None:
     """Remove all tables that :func:`durable` has written for this application. Results that read them must have
     been written elsewhere before."""
-    for path in _tables.pop(spark.sparkContext.applicationId, []):
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    _remove(spark, _tables.pop(spark.sparkContext.applicationId, []))
 
 
 def numbered(df: DataFrame, row: str | None, **columns: Column) -> DataFrame:

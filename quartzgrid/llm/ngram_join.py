@@ -29,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, ascii_lower, durable, numbered, small
+from .common import WORD, ascii_lower, durable, numbered, scratch, small
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -178,13 +178,20 @@ def jaccard_join(
     """
     if percent < 2 * (100 - percent):
         raise ValueError("percent must be 67 or more: below, different sets can link by one token")
-    docs = numbered(df, row, key=F.col(key), text=F.col(text))
+    with scratch(df.sparkSession):
+        docs = numbered(df, row, key=F.col(key), text=F.col(text))
+        out = _join(docs, shingle, percent, probe, rare_pairs, pivot_rounds)
+    return out.withColumnRenamed("key", key)
+
+
+def _join(docs: DataFrame, shingle: int, percent: int, probe: float, rare_pairs: int, pivot_rounds: int) -> DataFrame:
+    """:func:`jaccard_join` for ``row, key, text``. The result reads three kept tables, and no other."""
     tokens, n = F.col("tokens"), F.size("tokens").cast("long")
     under = int(-(2**63) + probe * 2**64)
     base = _sets(docs, shingle).select(
         "row", "key", n.alias("n"), F.xxhash64(tokens).alias("k1"), F.xxhash64(F.lit(1), tokens).alias("k2"), F.filter(tokens, lambda t: t < under).alias("low")
     )
-    base = durable(base)
+    base = durable(base, keep=True)
 
     # 1. texts with p tokens of their own
     counted = base.select("row", F.explode("low").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("row").alias("row"))
@@ -257,9 +264,9 @@ def jaccard_join(
     # component of each class, least key of each component
     named = links.label(classes).withColumn("cls", F.col("label")).drop("label")
     rows = base.select("row", "key", "n", "k1", "k2")  # empty sets are in no class
-    keyed = durable(rows.groupBy("n", "k1", "k2").agg(F.min("key").alias("least")).join(named, ["n", "k1", "k2"]))
+    keyed = durable(rows.groupBy("n", "k1", "k2").agg(F.min("key").alias("least")).join(named, ["n", "k1", "k2"]), keep=True)
     # both sides are stored, so that the classes of a large component can be split where the least keys are too many
-    least = durable(keyed.groupBy("cls").agg(F.min("least").alias("component_id")))
+    least = durable(keyed.groupBy("cls").agg(F.min("least").alias("component_id")), keep=True)
     of_class = keyed.join(small(least, SMALL_ROWS), "cls").select("n", "k1", "k2", "component_id", F.col("cls").alias("component"))
     out = rows.join(of_class, ["n", "k1", "k2"], "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"), "row", F.coalesce("component", "row").alias("component"))
+    return out.select("key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"), "row", F.coalesce("component", "row").alias("component"))
