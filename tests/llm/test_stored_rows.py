@@ -15,8 +15,8 @@ def other_splits(spark, monkeypatch):
     """Each durable() is followed by another number of cores to split files by."""
     turns = []
 
-    def switched(df):
-        out = durable(df)
+    def switched(df, **options):
+        out = durable(df, **options)
         turns.append(out)
         spark.conf.set(SPLIT, 4 if len(turns) % 2 else 6)
         return out
