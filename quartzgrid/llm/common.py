@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -52,8 +53,8 @@ def shared_folder(spark: SparkSession) -> str:
 def durable(df: DataFrame, keep: bool = False) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and return the table read back.
 
-    The files outlive any executor. They are removed at the end of :func:`scratch` (unless ``keep``), by
-    :func:`clean_up`, or when the driver's JVM ends.
+    The files outlive any executor. They are removed by :func:`discard`, at the end of :func:`scratch` (unless
+    ``keep``), by :func:`clean_up`, or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/quartzgrid-{uuid.uuid4().hex}"
@@ -64,11 +65,14 @@ def durable(df: DataFrame, keep: bool = False) -> DataFrame:
     _tables.setdefault(spark.sparkContext.applicationId, []).append(path)
     if keep:
         _kept.add(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _path_of[table] = path
+    return table
 
 
 _tables: dict[str, list[str]] = {}
 _kept: set[str] = set()
+_path_of: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def _remove(spark: SparkSession, paths: list[str]) -> None:
@@ -77,6 +81,18 @@ def _remove(spark: SparkSession, paths: list[str]) -> None:
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that :func:`durable` returned and that nothing reads any more, before their block ends. What was
+    made of them must be durable itself. Other tables, those of a caller among them, are left alone."""
+    for table in tables:
+        path = _path_of.pop(table, None)
+        own = _tables.get(table.sparkSession.sparkContext.applicationId, [])
+        if path in own:
+            own.remove(path)
+            _kept.discard(path)
+            _remove(table.sparkSession, [path])
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Remove the tables that :func:`durable` writes inside, but for those to ``keep``, when the block ends.
@@ -86,13 +102,13 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     doesn't keep itself.
     """
     own = spark.sparkContext.applicationId
-    before, outer = len(_tables.get(own, [])), set(_kept)
+    before, outer = set(_tables.get(own, [])), set(_kept)
     try:
         yield
     finally:
         tables = _tables.get(own, [])
-        gone = [path for path in tables[before:] if path not in _kept]
-        tables[before:] = [path for path in tables[before:] if path in _kept]
+        gone = [path for path in tables if path not in before and path not in _kept]
+        tables[:] = [path for path in tables if path in before or path in _kept]
         _kept.intersection_update(outer)
         _remove(spark, gone)
 

@@ -6,7 +6,8 @@ similarity of their sets reaches ``percent``; components follow links. The steps
 1. *No partner.* A text that needs p = n - ceil(percent n) + 1 tokens to be unlike any other, and has p tokens that
    no other text has, links with none. The tokens under a fixed hash value, about ``probe`` of all, are counted
    over all texts; most texts end here.
-2. *Classes.* Texts of equal sets are one class from here on.
+2. *Classes.* Texts of equal sets are one class from here on. Step 1 is done once more over the classes left: copies
+   no longer hold each other's tokens, nor do texts that have ended.
 3. *Prefixes.* The tokens of the classes left are counted, and each class takes its prefix in the order of rarity,
    extended by one token: linked classes share a token in their prefixes, and two in the extended ones.
 4. *Cells.* A class stands in the lists of its prefix tokens by its band of sizes: as the smaller one of a pair in
@@ -29,12 +30,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, ascii_lower, durable, numbered, scratch, small
+from .common import WORD, ascii_lower, discard, durable, numbered, scratch, small
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
 #: Share of all tokens that step 1 counts.
 PROBE = 0.3
+#: So many leading bits of a token are counted in step 1. Two tokens with equal ones only look shared, which ends no text.
+PROBE_BITS = 48
 #: A cell is rare as long as the pairs across its components are no more than so many for each entry.
 RARE_PAIRS = 8
 #: Rounds of early links at most; they end as soon as a round leaves more than half of the open entries.
@@ -112,12 +115,24 @@ def _rated(entries: DataFrame, cell: list[str]) -> DataFrame:
     return sums.select(*cell, (F.col("s") + F.col("p")).alias("size"), (F.col("s") * F.col("p") - F.col("same")).alias("pairs")).where("pairs > 0")
 
 
+def _with_partner(lows: DataFrame, percent: int) -> DataFrame:
+    """The ``row``s of ``row, n, low`` that another of them could link with: not those with enough tokens of their own.
+
+    ``row`` follows ``token`` in the shuffled rows, so that the bytes that differ are next to each other.
+    """
+    counted = lows.select(F.explode("low").alias("token"), "row").groupBy("token").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("c"))
+    alone = counted.where("c = 1").groupBy("row").agg(F.count(F.lit(1)).alias("own"))
+    left = lows.select("row", "n").join(alone, "row", "left")
+    return left.where((F.col("n") > 0) & (F.coalesce("own", F.lit(0)) < prefix_size(F.col("n"), percent))).select("row")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets are similar. ``sets`` has ``cls, n, tokens``; tokens of one class only may be
-    missing there, as they are in no intersection."""
-    left = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
+    """The pairs ``a, b`` whose sets are similar. ``pairs`` are distinct and durable. ``sets`` has ``cls, n, tokens``;
+    tokens of one class only may be missing there, as they are in no intersection. Only the sets of the pairs move."""
+    asked = small(durable(pairs.select(F.col("a").alias("cls")).distinct()), SMALL_ROWS)
+    left = sets.join(asked, "cls", "left_semi").select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    both = pairs.select("a", "b").distinct().join(right, "b").join(left, "a")
+    both = right.join(small(pairs.select("a", "b"), SMALL_ROWS), "b").join(left, "a")
     shared = F.size(F.array_intersect("ta", "tb")).cast("long")
     return both.where(shared * 100 >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b")
 
@@ -188,37 +203,39 @@ def _join(docs: DataFrame, shingle: int, percent: int, probe: float, rare_pairs:
     """:func:`jaccard_join` for ``row, key, text``. The result reads three kept tables, and no other."""
     tokens, n = F.col("tokens"), F.size("tokens").cast("long")
     under = int(-(2**63) + probe * 2**64)
-    base = _sets(docs, shingle).select(
-        "row", "key", n.alias("n"), F.xxhash64(tokens).alias("k1"), F.xxhash64(F.lit(1), tokens).alias("k2"), F.filter(tokens, lambda t: t < under).alias("low")
-    )
-    base = durable(base, keep=True)
+    low = F.transform(F.filter(tokens, lambda t: t < under), lambda t: t.bitwiseAND(-(1 << (64 - PROBE_BITS))))
+    base = durable(_sets(docs, shingle).select("row", "key", n.alias("n"), F.xxhash64(tokens).alias("k1"), F.xxhash64(F.lit(1), tokens).alias("k2"), low.alias("low")))
+    rows = durable(base.drop("low"), keep=True)
 
     # 1. texts with p tokens of their own
-    counted = base.select("row", F.explode("low").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("row").alias("row"))
-    alone = counted.where("c = 1").groupBy("row").agg(F.count(F.lit(1)).alias("own"))
-    rest = base.select("row", "n", "k1", "k2").join(alone, "row", "left").where((F.col("n") > 0) & (F.coalesce("own", F.lit(0)) < prefix_size(F.col("n"), percent)))
-
+    rest = durable(_with_partner(base, percent))
     # 2. classes of equal sets, by size and 128 bits of hash; the first row stands for each
-    classes = durable(rest.groupBy("n", "k1", "k2").agg(F.min("row").alias("cls")))
-    texts = docs.join(small(classes.select(F.col("cls").alias("row")), SMALL_ROWS), "row")
+    classes = durable(rows.join(small(rest, SMALL_ROWS), "row", "left_semi").groupBy("n", "k1", "k2").agg(F.min("row").alias("cls")))
+    firsts = small(classes.select(F.col("cls").alias("row")), SMALL_ROWS)
+    unsettled = durable(_with_partner(base.join(firsts, "row", "left_semi"), percent))
+    discard(base)
+    texts = docs.join(small(unsettled, SMALL_ROWS), "row", "left_semi")
     full = durable(_sets(texts, shingle).select(F.col("row").alias("cls"), n.alias("n"), "tokens"))
+    discard(docs)
 
     # 3. prefixes by rarity; tokens of one class alone come first in that order and need no list
-    each = full.select("cls", "n", F.explode("tokens").alias("token"))
+    each = full.select(F.explode("tokens").alias("token"), "cls")
     common = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = each.join(common, "token")
     by_class = Window.partitionBy("cls")
     shared = shared.withColumn("rank", F.row_number().over(by_class.orderBy("df", "token"))).withColumn("m", F.count(F.lit(1)).over(by_class))
-    gathered = shared.groupBy("cls", "n").agg(F.collect_list(F.struct("rank", "token")).alias("x"), F.max("m").alias("m"))
+    gathered = shared.groupBy("cls").agg(F.collect_list(F.struct("rank", "token")).alias("x"), F.max("m").alias("m")).join(small(full.select("cls", "n"), SMALL_ROWS), "cls")
     free = prefix_size(F.col("n"), percent) - (F.col("n") - F.col("m"))  # prefix places left for shared tokens
     sets = gathered.where(free > 0).select("cls", "n", F.sort_array("x")["token"].alias("tokens"), free.cast("int").alias("places"), (F.col("m") / F.col("n")).alias("central"))
     sets = durable(sets)
+    discard(full)
     # 4. cells; every class is a component of its own so far
     lists = sets.select("cls", "n", F.size("tokens").alias("m"), "central", F.posexplode(F.slice("tokens", F.lit(1), F.col("places") + 1)).alias("r", "token"))
     cell = ["token", "band"]
     entries = durable(_cells(lists, percent).withColumn("label", F.col("cls")))
-    rated = durable(_rated(entries, cell))
     is_rare = F.col("pairs") <= rare_pairs * F.col("size")
+    dealt = durable(entries.join(_rated(entries, cell).select(*cell, is_rare.alias("rare")), cell))
+    discard(entries)
     links, tested = _Links(), None
 
     def check(pairs: DataFrame) -> bool:
@@ -232,11 +249,11 @@ def _join(docs: DataFrame, shingle: int, percent: int, probe: float, rare_pairs:
         return True
 
     # 5. rare tokens singly
-    check(_met(entries.join(rated.where(is_rare).select(*cell), cell, "left_semi"), cell, percent))
+    check(_met(dealt.where("rare"), cell, percent))
 
     # 6. frequent tokens: early links, then single cells that have become rare, and combinations of two
-    often = entries.join(rated.where(~is_rare).select(*cell), cell, "left_semi").drop("label")
-    often = durable(links.label(often))
+    often = durable(links.label(dealt.where("not rare").drop("label", "rare")))
+    discard(dealt)
     left = often.count()
     for turn in range(pivot_rounds):
         if left == 0:
@@ -263,7 +280,7 @@ def _join(docs: DataFrame, shingle: int, percent: int, probe: float, rare_pairs:
 
     # component of each class, least key of each component
     named = links.label(classes).withColumn("cls", F.col("label")).drop("label")
-    rows = base.select("row", "key", "n", "k1", "k2")  # empty sets are in no class
+    # empty sets are in no class
     keyed = durable(rows.groupBy("n", "k1", "k2").agg(F.min("key").alias("least")).join(named, ["n", "k1", "k2"]), keep=True)
     # both sides are stored, so that the classes of a large component can be split where the least keys are too many
     least = durable(keyed.groupBy("cls").agg(F.min("least").alias("component_id")), keep=True)
